@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ruleframe.llm.common import Scratch
+from ruleframe.llm.common import Scratch, checked_broadcast
 
 #: The white space that normalisation deletes: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -33,27 +33,42 @@ def named(distinct: DataFrame, key: list[str], buckets: int) -> DataFrame:
     return distinct.withColumn("__bucket", bucket).select(*key, (rank * buckets + F.col("__bucket")).alias("name"))
 
 
-def name_texts(docs: DataFrame, scratch: Scratch, block_chars: int = 4096, buckets: int = 4096) -> DataFrame:
-    """``docs(row, text)`` -> ``(row, blocks, name)``; rows are unique. Texts are equal when (blocks, name) are."""
+def blocks_of(docs: DataFrame, block_chars: int) -> DataFrame:
+    """``docs(row, text)`` -> ``(row, blocks, pos, hash, block)``; an empty text is one empty block."""
     parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block_chars}}}"), 0)
-    cut = docs.select("row", parts.alias("parts")).select("row", F.size("parts").alias("blocks"), F.posexplode_outer("parts").alias("pos", "block"))
-    cut = cut.select("row", "blocks", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("block", F.lit("")).alias("block"))
-    names = named(cut.select("block").distinct(), ["block"], buckets)
-    level = scratch.keep(cut.join(names, "block").select("row", "blocks", "pos", "name"), "names-0")
+    cut = docs.select("row", parts.alias("parts")).select("row", F.greatest(F.size("parts"), F.lit(1)).alias("blocks"), F.posexplode_outer("parts").alias("pos", "block"))
+    return cut.select("row", "blocks", F.coalesce("pos", F.lit(0)).alias("pos"), F.xxhash64(F.coalesce("block", F.lit(""))).alias("hash"), F.coalesce("block", F.lit("")).alias("block"))
+
+
+def name_blocks(docs: DataFrame, scratch: Scratch, block_chars: int, buckets: int) -> DataFrame:
+    """``(row, blocks, pos, name)``. A block whose routing hash no other block has is named by that hash's rank, and its
+    text stays where it is; blocks that share a hash are sorted, compared and named by their text."""
+    light = scratch.keep(blocks_of(docs, block_chars).drop("block"), "blocks")
+    counts = light.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    alone = named(counts.filter("n = 1").select("hash"), ["hash"], buckets)
+    shared = scratch.keep(counts.filter("n > 1").select("hash"), "shared")
+    texts = blocks_of(docs, block_chars).join(checked_broadcast(shared, shared.count()), "hash")
+    names = named(texts.select("hash", "block").distinct(), ["hash", "block"], buckets)
+    own = light.join(alone, "hash").select("row", "blocks", "pos", (F.col("name") * 2).alias("name"))
+    return own.unionAll(texts.join(names, ["hash", "block"]).select("row", "blocks", "pos", (F.col("name") * 2 + 1).alias("name")))
+
+
+def name_texts(docs: DataFrame, scratch: Scratch, block_chars: int = 4096, buckets: int = 4096) -> DataFrame:
+    """``docs(row, text)`` -> ``(row, blocks, name)``, one row per distinct ``row``. Texts are equal when (blocks, name) are."""
+    level = scratch.keep(name_blocks(docs, scratch, block_chars, buckets), "names-0")
     longest = level.agg(F.max("blocks")).first()[0] or 1
     done, step = [level.filter("blocks <= 1")], 0
     level = level.filter("blocks > 1")
     while 1 << step < longest:
         step += 1
         # at this level a document of b blocks has ceil(b / 2^step) names; a last one without partner pairs with -1
-        pairs = level.groupBy("row", "blocks", F.shiftright("pos", 1).alias("pos")).agg(
-            F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right")
-        )
+        left, right = (F.max(F.when(F.col("pos") % 2 == k, F.col("name"))) for k in (0, 1))
+        pairs = level.groupBy("row", "blocks", F.shiftright("pos", 1).alias("pos")).agg(left.alias("left"), F.coalesce(right, F.lit(-1)).alias("right"))
         names = named(pairs.select("left", "right").distinct(), ["left", "right"], buckets)
         level = scratch.keep(pairs.join(names, ["left", "right"]).select("row", "blocks", "pos", "name"), f"names-{step}")
         done.append(level.filter(F.col("blocks") <= (1 << step)))
         level = level.filter(F.col("blocks") > (1 << step))
-    out = done[0]
+    out = done[0].dropDuplicates(["row"])
     for more in done[1:]:
         out = out.unionAll(more)
     return out.select("row", "blocks", "name")
@@ -64,16 +79,19 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, block_chars: int = 4096)
 
     Texts are equal when they are after deleting ``SPACES``; a null text counts as empty and equals other empty ones.
     Of equal texts, the row with the most code points in the original text stays, then the smallest doc_id (nulls last).
-    Rows repeated with the same doc_id and text each count in the group size; one of them is kept. No rows give no rows.
+    Rows that repeat both doc_id and text each count in the group size and share one ``kept`` value. No rows give no rows.
     Other columns of ``docs`` are not read. Texts may be of any length.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length(text).alias("n"), F.sha2(without_spaces(text), 256).alias("text_sha256"), without_spaces(text).alias("text")), "rows")
-    ids = name_texts(rows.select("row", "text"), scratch, block_chars)
-    member = scratch.keep(rows.drop("text").join(ids, "row"), "members")
-    best = F.min_by(F.struct("doc_id", "row"), F.struct(-F.col("n"), F.col("doc_id").isNull(), "doc_id", "row"))
-    groups = member.groupBy("blocks", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return member.join(groups, ["blocks", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    plain = docs.select("doc_id", F.length(text).alias("n"), without_spaces(text).alias("text"))
+    # names this document among rows of the same doc_id; what is equal between documents is decided by names of blocks
+    row = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.length("text").alias("n"), F.xxhash64("text").alias("h"))
+    member = plain.select("doc_id", "n", row.alias("row"), F.sha2("text", 256).alias("text_sha256"))
+    ids = name_texts(plain.select(row.alias("row"), "text"), scratch, block_chars)
+    member = scratch.keep(member.join(ids, "row"), "members")
+    order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    groups = member.groupBy("blocks", "name").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return member.join(groups, ["blocks", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (order == F.col("best")).alias("kept"), "text_sha256")
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
