@@ -40,7 +40,11 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
     One word holds the band: at text position i, bit k stands for pattern row i - edits - 1 + k. The vertical differences move
     down the diagonal with each character, the distance follows the band's lowest row, and then the last row."""
-    x, y = F.split(a, ""), F.split(b, "")
+    # the characters are bound once by a lambda, as an expression would be computed anew at each use
+    return F.element_at(F.transform(F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))), lambda s: banded(s["x"], s["y"], edits)), 1)
+
+
+def banded(x: Column, y: Column, edits: int) -> Column:
     rows, width = F.size(x), 2 * edits + 2
     full, top = (1 << width) - 1, width - 1
 
