@@ -378,9 +378,6 @@ def semver_validity(spark, sf):
     return read(spark, sf, "part").select("p_partkey", semver(v).isNotNull().alias("valid"))
 
 
-SYMBOLS = "symbols AS (SELECT 'order/' || l_orderkey AS uri, 'com.' || l_shipmode AS name FROM lineitem)"
-
-
 def symbols(spark, sf):
     li = read(spark, sf, "lineitem")
     note = F.array(F.struct(F.concat(F.lit("note."), "l_returnflag").alias("name"), F.create_map(F.lit("value"), F.col("l_linestatus")).alias("elements")))
@@ -693,7 +690,7 @@ def overlay_latest_wins(spark, sf):
 )
 def throttle_events(spark, sf):
     e = read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 10).alias("current"), F.lit(9).cast("long").alias("total"))
-    return progress.throttled(e, 86_400_000).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.unix_millis(F.max("ts")).alias("last_ms"))
+    return progress.throttled(e, 86_400_000).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.floor((F.unix_micros(F.max("ts")) + 500) / 1000).alias("last_ms"))
 
 
 METRICS = "(round(value * 100))::bigint AS v"

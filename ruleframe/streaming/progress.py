@@ -22,7 +22,7 @@ def throttled(events: DataFrame, every_ms: int = 500) -> DataFrame:
     start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<struct<ts:timestamp,current:bigint,total:bigint>>").alias("out"))
 
     def step(s: Column, e: Column) -> Column:
-        passes = s["last"].isNull() | (e["current"] == e["total"]) | (F.unix_millis(e["ts"]) - F.unix_millis(s["last"]) >= every_ms)
+        passes = s["last"].isNull() | (e["current"] == e["total"]) | (F.unix_micros(e["ts"]) - F.unix_micros(s["last"]) >= every_ms * 1000)
         return F.struct(F.when(passes, e["ts"]).otherwise(s["last"]).alias("last"), F.when(passes, F.array_append(s["out"], e)).otherwise(s["out"]).alias("out"))
 
     return ordered.select("key", F.explode(F.aggregate("e", start, step)["out"]).alias("e")).select("key", "e.*")
@@ -36,9 +36,9 @@ def throttle_stream(events: DataFrame, every_ms: int = 500) -> DataFrame:
         for pdf in batches:
             keep = []
             for row in pdf.sort_values("ts").itertuples():
-                ms = int(row.ts.timestamp() * 1000)
-                if last is None or row.current == row.total or ms - last >= every_ms:
-                    last = ms
+                now = row.ts.value // 1000  # microseconds
+                if last is None or row.current == row.total or now - last >= every_ms * 1000:
+                    last = now
                     keep.append((key[0], row.ts, row.current, row.total))
             yield pd.DataFrame(keep, columns=["key", "ts", "current", "total"])
         if last is not None:
