@@ -90,8 +90,11 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, block_chars: int = 4096)
     ids = name_texts(plain.select(row.alias("row"), "text"), scratch, block_chars)
     member = scratch.keep(member.join(ids, "row"), "members")
     order = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id")
-    groups = member.groupBy("blocks", "name").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return member.join(groups, ["blocks", "name"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (order == F.col("best")).alias("kept"), "text_sha256")
+    groups = member.groupBy("blocks", "name").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    # stored, so that the join's shuffles are plain ones and Spark can split a partition that holds a large group
+    out, alone = member.join(scratch.keep(groups, "groups"), ["blocks", "name"], "left"), F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (order == F.col("best"))).alias("kept"), "text_sha256")
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:

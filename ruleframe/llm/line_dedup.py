@@ -3,7 +3,8 @@
 Two lines within ``edits`` insertions, deletions and substitutions share one of ``edits + 1`` segments of the shorter line, at
 a place in the longer one that its length and the segment's number bound. So every distinct line is an entry of ``edits + 1``
 index lists, keyed by (length, segment number, segment), and probes those of each length it may meet with the few substrings
-that can match. Pairs that meet are verified by a banded bit-parallel edit distance.
+that can match. A pair leaves the join only if its words differ by no more than the edits can change, so lines of near copies
+that share a segment and differ elsewhere are no candidates. Those are verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import BROADCAST_ROWS, Scratch, checked_broadcast
+from ruleframe.llm.common import Scratch, checked_broadcast
 
 
 def segment(chars: Column, number: int, edits: int) -> tuple[Column, Column]:
@@ -22,17 +23,21 @@ def segment(chars: Column, number: int, edits: int) -> tuple[Column, Column]:
     return 1 + number * base + F.greatest(longer, F.lit(0)), base + F.when(longer >= 0, 1).otherwise(0)
 
 
-def keys(line: Column, chars: Column, edits: int, probes: bool) -> list[Column]:
-    """The index keys of a line, followed (``probes``) by the keys of the substrings that a shorter or equally long line's segments can match."""
-    out, more = [], []
-    for shorter in range(edits + 1 if probes else 1):
-        for number in range(edits + 1):
-            start, size = segment(chars - shorter, number, edits)
-            low, high = max(-number, shorter - (edits - number)), min(number, shorter + edits - number)
-            for shift in range(low, high + 1) if probes else [0]:
-                key = F.xxhash64(chars - shorter, F.lit(number), F.substring(line, start + shift, size))
-                (out if shorter == 0 and shift == 0 else more).append(key)
-    return out + more
+def keys(line: Column, chars: Column, edits: int, shorter: int, probes: bool) -> list[Column]:
+    """The index keys of a line; with ``probes``, the keys of its substrings that the segments of a line ``shorter`` characters
+    shorter can match."""
+    out = []
+    for number in range(edits + 1):
+        start, size = segment(chars - shorter, number, edits)
+        low, high = max(-number, shorter - (edits - number)), min(number, shorter + edits - number)
+        out += [F.xxhash64(chars - shorter, F.lit(number), F.substring(line, start + shift, size)) for shift in (range(low, high + 1) if probes else [0])]
+    return out
+
+
+def word_bits(line: Column) -> Column:
+    """A bit for each word's hash, on if an odd number of words has it. An edit changes, cuts or joins words and so turns three bits at most."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -86,21 +91,23 @@ def near_line_pairs(docs: DataFrame, scratch: Scratch, edits: int = 2, min_chars
     if min_chars < 4 * (edits + 1):
         raise ValueError("lines must have four characters a segment at least")
 
-    def listed(probes: bool) -> DataFrame:
-        lines = lines_of(docs, min_chars)
-        return lines.select("h1", "h2", F.explode(F.array(*keys(F.col("line"), F.col("chars"), edits, probes))).alias("key"))
-
-    index = listed(False).groupBy("key", "h1", "h2").agg(F.lit(1).alias("n")).select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    probe = listed(True).select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    met = probe.join(index, "key").filter("a1 <> b1 or a2 <> b2")
-    forward = F.struct("a1", "a2") < F.struct("b1", "b2")
-    met = met.select(*(F.when(forward, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a1", "b1"), ("a2", "b2"))), *(F.when(forward, F.col(y)).otherwise(F.col(x)).alias(y) for x, y in (("a1", "b1"), ("a2", "b2"))))
-    met = scratch.keep(met.distinct(), "met")
-    wanted = scratch.keep(met.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).union(met.select("b1", "b2")).distinct(), "wanted")
-    texts = lines_of(docs, min_chars).select("h1", "h2", "line").join(checked_broadcast(wanted, wanted.count()), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    lines = lines_of(docs, min_chars).select("h1", "line", "chars", word_bits(F.col("line")).alias("bits"))
+    listed = lambda ks: F.posexplode(F.array(*ks)).alias("pos", "key")
+    index = lines.select("h1", "bits", listed(keys(F.col("line"), F.col("chars"), edits, 0, False)))
+    index = index.groupBy("key", F.col("h1").alias("a1")).agg(F.max("bits").alias("a_bits"))
+    probing = [keys(F.col("line"), F.col("chars"), edits, shorter, True) for shorter in range(edits + 1)]
+    probe = lines.select(F.col("h1").alias("b1"), F.col("bits").alias("b_bits"), listed([k for ks in probing for k in ks]))
+    # lines of one length probe one another, so one of the two ways is enough; pairs whose words differ too much never leave the join
+    once = (F.col("pos") >= len(probing[0])) & (F.col("a1") != F.col("b1")) | (F.col("a1") < F.col("b1"))
+    like = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 3 * edits
+    met = probe.join(index, (probe["key"] == index["key"]) & once & like)
+    met = scratch.keep(met.select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct(), "met")
+    wanted = scratch.keep(met.select(F.col("a1").alias("h1")).union(met.select("b1")).distinct(), "wanted")
+    texts = lines_of(docs, min_chars).select("h1", "h2", "line").join(checked_broadcast(wanted, wanted.count()), "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
     texts = scratch.keep(texts, "texts")
     a, b = (texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line")) for x in "ab")
-    pairs = met.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    # lines that share a first hash have texts of their own here, and these decide
+    pairs = met.join(a, "a1").join(b, "b1").filter(F.abs(F.length("a_line") - F.length("b_line")) <= edits)
     return scratch.keep(pairs.filter(within(F.col("a_line"), F.col("b_line"), edits)).select("a1", "a2", "b1", "b2"), "near")
 
 
@@ -132,9 +139,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = 2, min_chars: in
     """
     gone = repeated_lines(docs.select("doc_id", "text"), scratch, edits, min_chars)
     found = gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
-    rows = found.count()
-    small = rows <= BROADCAST_ROWS // 4 and (found.agg(F.sum(F.size("__gone"))).first()[0] or 0) <= 2 * BROADCAST_ROWS
-    out = docs.join(F.broadcast(found) if small else found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
     return out.withColumn("lines_gone", F.coalesce(F.size("__gone"), F.lit(0))).drop("__id", "__hash", "__gone")

@@ -32,8 +32,8 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int, ca
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        odd, known, end = re.compile(ODD_SPACE).search, {}, np.uint32(end_id).astype("<u4").tobytes()
+        added = [re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values()]  # a text that spells one of these goes whole
+        odd, known, end = re.compile("|".join([ODD_SPACE, *added])).search, {}, np.uint32(end_id).astype("<u4").tobytes()
         encode = lambda xs: (np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(xs, add_special_tokens=False))
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
