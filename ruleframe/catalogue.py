@@ -730,3 +730,113 @@ def progress_percent(spark, sf):
 @query("prometheus_text", "SELECT 'events_total{event_type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
 def prometheus_text(spark, sf):
     return progress.prometheus(metric_rows(spark, sf), "events_total", ["event_type"], "n")
+
+
+# ---- listings, symbols and archives -------------------------------------------------------------------------------------
+
+
+@query(
+    "maven_tree",
+    """SELECT p_partkey || '.txt' AS path, v.depth::int AS depth, v.name AS name, v.version AS version, v.parent AS parent FROM part,
+    LATERAL (VALUES (0, 'g.a' || p_partkey, p_size || '.0', NULL), (1, 'g.b', '2', 'g.a' || p_partkey), (1, 'h.c', p_size || '', 'g.a' || p_partkey), (0, 'g.z', '9', NULL)) v(depth, name, version, parent)""",
+)
+def maven_tree(spark, sf):
+    part = read(spark, sf, "part")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("[INFO] Scanning\n[INFO] top:app:jar:1.0\n[INFO] +- g:a"), key, F.lit(":jar:"), size, F.lit(".0:compile\n[INFO] |  +- g:b:jar:2:compile\n[INFO] |  \\- h:c:jar:sources:"), size,
+        F.lit(":test\n[INFO] \\- g:z:jar:9:runtime\n[INFO] BUILD SUCCESS"),
+    )
+    listing = S.lines(part.select(F.concat(key, F.lit(".txt")).alias("path"), text.alias("content")))
+    return SD.maven_listing(listing).select("path", "depth", "name", "version", "parent")
+
+
+@query(
+    "gradle_tree",
+    """SELECT p_partkey || '.txt' AS path, v.depth::int AS depth, v.name AS name, v.version AS version, v.parent AS parent FROM part,
+    LATERAL (VALUES (0, 'g.a', p_size || '.1', NULL), (1, 'g.b', '3', 'g.a'), (2, 'g.d', '4', 'g.b'), (0, 'h.c', '5', NULL)) v(depth, name, version, parent)""",
+)
+def gradle_tree(spark, sf):
+    text = F.concat(F.lit("runtimeClasspath\n+--- g:a:"), F.col("p_size").cast("string"), F.lit(".1\n|    \\--- g:b:2 -> 3\n|         \\--- g:d:4 (*)\n\\--- h:c:5 (n)\n\n(*) - repeated"))
+    listing = S.lines(read(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"), text.alias("content")))
+    return SD.gradle_listing(listing).select("path", "depth", "name", "version", "parent")
+
+
+@query("dependency_json", "SELECT p_partkey || '/x' AS file_uri, 'n' || p_partkey AS name, p_size || '' AS version, p_size > 25 AS indirect FROM part UNION ALL SELECT p_partkey || '/x', 'common', '1', false FROM part")
+def dependency_json(spark, sf):
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    one = F.concat(F.lit('{"name": "n'), key, F.lit('", "version": "'), size, F.lit('", "indirect": '), (F.col("p_size") > 25).cast("string"), F.lit("}"))
+    value = F.concat(F.lit('{"'), key, F.lit('/x": ['), one, F.lit(', {"name": "common", "version": "1"}]}'))
+    return SD.dependency_json(read(spark, sf, "part").select(value.alias("value"))).select("file_uri", "name", "version", "indirect")
+
+
+@query("unresolved_sources", "SELECT 'g:p' || p_partkey || ':jar:' || p_size AS coordinate FROM part WHERE p_size % 3 <> 0")
+def unresolved_sources(spark, sf):
+    coordinate = F.concat(F.lit("g:p"), F.col("p_partkey").cast("string"), F.lit(":jar"))
+    size = F.col("p_size").cast("string")
+    bare = F.concat(F.lit("[INFO]    "), coordinate, F.lit(":sources:"), size, F.lit(" not found"))
+    absent = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("[WARN] Could not find artifact "), coordinate, F.lit(":"), size, F.lit(" in central"))).otherwise("[INFO] fine")
+    return SD.unresolved_sources(read(spark, sf, "part").select(F.explode(F.array(bare, absent, bare)).alias("line")))
+
+
+@query("path_coordinate", "SELECT p_partkey, 'org.' || lower(left(p_brand, 5)) || '.p' || p_partkey AS name, '0.0.0' AS version, 'g/h/p' || p_partkey || '/' || p_size || '/p' || p_partkey || '-' || p_size || '.jar' AS jar FROM part")
+def path_coordinate(spark, sf):
+    from ruleframe.sources import archives
+
+    p = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    path = F.concat(F.lit("/org/"), F.lower(F.substring("p_brand", 1, 5)), F.lit("/"), p, F.lit("/Z.class"))
+    rows = read(spark, sf, "part").select("p_partkey", archives.path_coordinate(path).alias("c"), SD.repository_path(F.lit("g.h"), p, F.col("p_size").cast("string")).alias("jar"))
+    return rows.select("p_partkey", "c.*", "jar")
+
+
+@query(
+    "source_symbols",
+    """SELECT p_partkey || '/A.java' AS uri, v.name AS name, v.location AS location, v.line::int AS start_line FROM part,
+    LATERAL (VALUES ('com.p' || p_partkey, 'PACKAGE', 0), ('java.util.List', 'IMPORT', 1), ('Api', 'ANNOTATION', 2), ('A' || p_size, 'TYPE', 3), ('Base', 'INHERITANCE', 3), ('B', 'CONSTRUCTOR_CALL', 4), ('B', 'METHOD_CALL', 4), ('x.run', 'METHOD_CALL', 5)) v(name, location, line)""",
+)
+def source_symbols(spark, sf):
+    from ruleframe.sources.symbols import symbols as found
+
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("package com.p"), key, F.lit(";\nimport java.util.List;\n@Api\nclass A"), size, F.lit(" extends Base {\n  B b = new B(1);\n  x.run(b); }\n"))
+    f = read(spark, sf, "part").select(F.concat(key, F.lit("/A.java")).alias("path"), text.alias("content"))
+    return found(f).select("uri", "name", "location", "start_line")
+
+
+@query("annotated_symbols", "SELECT p_partkey || '/A.java' AS uri, 'A' || p_size AS name FROM part WHERE p_size > 25")
+def annotated_symbols(spark, sf):
+    from ruleframe.sources.symbols import symbols as found
+
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit('@Bean(url = "jdbc:'), F.when(F.col("p_size") > 25, "old").otherwise("new"), F.lit('", n = 3)\nclass A'), size, F.lit(" { }\n"))
+    f = read(spark, sf, "part").select(F.concat(key, F.lit("/A.java")).alias("path"), text.alias("content"))
+    return leaves.referenced(found(f), "r", "A*", "TYPE", ("Bean", {"url": "^jdbc:old$"})).select("uri", F.col("variables")["name"].alias("name"))
+
+
+@query("relative_uri", f"WITH {FILES} SELECT path, path AS relative FROM files")
+def relative_uri(spark, sf):
+    return files(spark, sf).select("path", T.relative_to(F.concat(F.lit("file:///data/app/"), "path"), "/data/app/").alias("relative"))
+
+
+@query("span_times", "SELECT s.event_id AS span, s.user_id AS parent, epoch_ms(e.ts) - epoch_ms(s.ts) AS ms FROM events s JOIN events e ON e.event_id = s.event_id + 1 WHERE s.event_id % 2 = 0 AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 6 HOUR AND epoch_us(e.ts) % 1000 = epoch_us(s.ts) % 1000")
+def span_times(spark, sf):
+    e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    starts = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("span"), F.col("user_id").alias("parent"), "ts")
+    ends = e.filter("event_id % 2 = 1").select((F.col("event_id") - 1).alias("span"), "ts")
+    same = starts.join(ends.select("span", F.col("ts").alias("end")), "span").filter("unix_micros(end) % 1000 = unix_micros(ts) % 1000")
+    return progress.span_times(same.select("span", "parent", "ts"), ends, "6 hours")
+
+
+@query("rule_engine", f"WITH {LINES}, h AS (SELECT DISTINCT path, line_no FROM lines WHERE regexp_matches(line, '{A}')), b AS (SELECT DISTINCT path FROM lines WHERE regexp_matches(line, '{B}')) SELECT 'chained' AS rule_id, count(*) AS n_incidents, 'violation' AS kind FROM h WHERE path IN (SELECT path FROM b) UNION ALL SELECT 'plain', count(*), 'insight' FROM h")
+def rule_engine(spark, sf):
+    """Rules as a user writes them, through the engine: a plain search, and one that searches what another has found."""
+    from ruleframe.plans.engine import Analyzer
+    from ruleframe.plans.rules import rule
+
+    search = lambda pattern, **more: {"builtin.filecontent": {"pattern": pattern, **more}}
+    rules = [
+        {"ruleID": "plain", "message": "m", "when": search(A)},
+        {"ruleID": "chained", "message": "m {{lineNumber}}", "effort": 1, "when": {"and": [search(B) | {"as": "p", "ignore": True}, search(A, filepaths="{{p.filepaths}}") | {"from": "p"}]}},
+    ]
+    result = Analyzer(files=files(spark, sf)).run([rule(r, "set", []) for r in rules], most_incidents=0)
+    return result.violations.select("rule_id", "n_incidents", "kind")

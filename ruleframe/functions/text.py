@@ -58,6 +58,13 @@ def normal_path(uri: Column) -> Column:
     return F.when(uri.rlike("^[a-zA-Z][a-zA-Z0-9+.-]+:") & ~uri.startswith("file:"), uri).otherwise(clean)
 
 
+def relative_to(uri: Column, base: str) -> Column:
+    """A file URI below ``base`` as a path relative to it; others stay."""
+    base = base.rstrip("/")
+    path = F.regexp_replace(uri, "^file:(//)?", "")
+    return F.when(path.startswith(base + "/"), F.substring(path, len(base) + 2, 1 << 30)).otherwise(uri)
+
+
 def map_prefix(path: Column, mappings: list[tuple[str, str]]) -> Column:
     """The first mapping whose prefix ends on a path boundary rewrites it."""
     out = None

@@ -20,6 +20,23 @@ def with_message(found: DataFrame, templates: dict[str, str]) -> DataFrame:
     return found.withColumn("message", out)
 
 
+def with_custom_variables(found: DataFrame, files: DataFrame, wanted: dict[str, list[dict]]) -> DataFrame:
+    """Adds each rule's custom variables, taken by regex from the incident's own line; incidents of other rules are not joined."""
+    if not wanted:
+        return found
+    chosen = F.col("rule_id").isin(sorted(wanted))
+    text = files.select(F.col("path").alias("uri"), "content")
+    joined = found.filter(chosen).join(text, "uri", "left")
+    line = F.coalesce(F.get(F.split("content", "\n", -1), F.col("line_no") - 1), F.lit(""))
+    out = F.col("variables")
+    for rule, variables in wanted.items():
+        values = [(v["name"], T.custom_variable(line, v["pattern"], v.get("defaultValue") or "", v.get("nameOfCaptureGroup"))) for v in variables]
+        more = F.map_filter(F.create_map(*(x for name, value in values for x in (F.lit(name), value))), lambda _, value: value.isNotNull())
+        old = F.map_filter("variables", lambda k, _: ~F.array_contains(F.map_keys(more), k))
+        out = F.when(F.col("rule_id") == rule, F.map_concat(old, more)).otherwise(out)
+    return found.filter(~chosen).unionByName(joined.withColumn("variables", out).select(*found.columns))
+
+
 def distinct_incidents(found: DataFrame) -> DataFrame:
     """One incident for each (rule, uri, message, line); a null line is a line of its own."""
     keys = ["rule_id", "uri", "message", "line_no"]
@@ -56,7 +73,8 @@ def violations(found: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per rule with incidents: rule columns, ``kind`` (violation, or insight where effort is null or 0), sorted incidents.
 
     Limit incidents first, so that a rule's list is bounded."""
-    item = F.struct("uri", F.coalesce("line_no", F.lit(0)).alias("line_no"), "message")
+    shown = ["code_snip"] if "code_snip" in found.columns else []
+    item = F.struct("uri", F.coalesce("line_no", F.lit(0)).alias("line_no"), "message", *shown)
     grouped = found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_incidents"), F.sort_array(F.collect_list(item)).alias("incidents"))
     kind = F.when(F.coalesce("effort", F.lit(0)) == 0, "insight").otherwise("violation")
     category = F.when(F.lower("category").isin("potential", "optional", "mandatory"), F.lower("category")).otherwise("potential")

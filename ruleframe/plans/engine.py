@@ -7,13 +7,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleframe.functions import text as T
+from ruleframe.functions.labels import incident_selector as chosen
 from ruleframe.operators import combine as C
 from ruleframe.operators import emit, leaves
 from ruleframe.plans.rules import Condition, Rule, as_table, selected
@@ -101,26 +102,53 @@ class Analyzer:
             files = files.filter(reduce(lambda a, b: a | b, [T.path_matches(F.col("path"), p) for p in paths]))
         return self.capabilities[c.op](self, rule, c.value, files)
 
-    def run(self, rules: list[Rule], selectors: list[str] = (), incident_selector: str | None = None, most_incidents: int = emit.MOST_INCIDENTS, included: DataFrame | None = None, excluded: list[str] | None = None) -> Result:
-        from ruleframe.functions.labels import incident_selector as chosen
-
-        spark = self.files.sparkSession
-        rules = [r for r in rules if (c := self.known(r.when)) and (r.__setattr__("when", c) or True)]
-        table, skipped = selected(as_table(spark, rules), list(selectors))
+    def incidents(self, rules: list[Rule], table: DataFrame, incident_selector: str | None, most: int, included: DataFrame | None, excluded: list[str] | None) -> DataFrame:
+        """The incidents of ``rules`` with messages, each once, up to ``most`` a rule."""
         simple = {r.rule_id: r.when.value["pattern"].strip('"') for r in rules if r.when.op == "builtin.filecontent" and not r.when.negate and not ({*r.when.value} - {"pattern"})}
         plans = [leaves.filecontent(self.files, simple)] if simple else []  # one scan for all plain content rules
         for r in rules:
             if r.rule_id not in simple:
-                whole = C.Part(self.found(r.rule_id, r.when, {}), r.when.negate, r.when.ignore)
-                plans.append(C.combine([whole], True))
-        found = reduce(DataFrame.unionByName, plans).join(table.select("rule_id"), "rule_id", "left_semi")
+                plans.append(C.combine([C.Part(self.found(r.rule_id, r.when, {}), r.when.negate, r.when.ignore)], True))
+        found = reduce(DataFrame.unionByName, plans).join(F.broadcast(table.select("rule_id")), "rule_id", "left_semi")
         found = C.keep_paths(found, included, excluded)
+        found = emit.with_custom_variables(found, self.files, {r.rule_id: r.variables for r in rules if r.variables})
         found = emit.with_message(found, {r.rule_id: r.message or "" for r in rules})
         if incident_selector:
             found = found.filter(chosen(F.col("variables"), incident_selector))
-        found = emit.limited(emit.distinct_incidents(found), most_incidents)
-        tags = found.join(table.filter(F.size("tags") > 0).select("rule_id", "ruleset", F.explode("tags").alias("template")), "rule_id")
-        templates = {t for r in rules for t in r.tags}
-        text = reduce(lambda out, t: F.when(F.col("template") == t, T.render(t, F.col("variables"), F.col("line_no"))).otherwise(out), sorted(templates), F.lit(None).cast("string"))
-        tags = tags.select("ruleset", text.alias("raw")).distinct().select("ruleset", "raw", F.explode(T.tags_of(F.col("raw"))).alias("tag"))
-        return Result(emit.violations(found, table), emit.unmatched(found, table), skipped, tags, found)
+        return emit.limited(emit.distinct_incidents(found), most)
+
+    def tags_of(self, found: DataFrame, rules: list[Rule], table: DataFrame) -> DataFrame:
+        """``(ruleset, raw, tag)`` of tagging rules: templates filled from each incident, categories cut off in ``tag``."""
+        templates = sorted({t for r in rules for t in r.tags})
+        tagged = found.join(F.broadcast(table.filter(F.size("tags") > 0).select("rule_id", "ruleset", F.explode("tags").alias("template"))), "rule_id")
+        text = reduce(lambda out, t: F.when(F.col("template") == t, T.render(t, F.col("variables"), F.col("line_no"))).otherwise(out), templates, F.lit(None).cast("string"))
+        return tagged.select("ruleset", text.alias("raw")).distinct().select("ruleset", "raw", F.explode(T.tags_of(F.col("raw"))).alias("tag"))
+
+    def run(
+        self, rules: list[Rule], selectors: list[str] = (), incident_selector: str | None = None, most_incidents: int = emit.MOST_INCIDENTS,
+        included: DataFrame | None = None, excluded: list[str] | None = None, snippets: int | None = None, context: int = emit.CONTEXT,
+    ) -> Result:
+        """``snippets``: how many incidents of a rule and file show their lines (0: all, None: none).
+
+        Rules that nothing can evaluate are left out. Rules that ask for tags come last and see those of all others."""
+        spark = self.files.sparkSession
+        rules = [replace(r, when=c) for r in rules if (c := self.known(r.when))]
+        table, skipped = selected(as_table(spark, rules), list(selectors))
+        scope = (incident_selector, most_incidents, included, excluded)
+        first, last = [r for r in rules if not asks_for_tags(r.when)], [r for r in rules if asks_for_tags(r.when)]
+        parts = [self.incidents(first, table, *scope)] if first else []
+        if last:
+            known = [t for t in (None if self.tags is None else self.tags.select("tag"), self.tags_of(parts[0], first, table).select("tag") if first else None) if t is not None]
+            known = reduce(DataFrame.unionByName, known or [spark.createDataFrame([], "tag string")]).distinct()
+            parts.append(replace(self, tags=known).incidents(last, table, *scope))
+        if not parts:
+            parts = [leaves.incidents(self.files, "", "path").withColumn("message", F.lit("")).limit(0)]
+        found = reduce(DataFrame.unionByName, parts)
+        tags = self.tags_of(found, rules, table)
+        shown = found if snippets is None else emit.with_snippets(found, self.files, context, snippets)
+        report = table.filter(F.col("message").isNotNull() | (F.size("tags") > 0))
+        return Result(emit.violations(shown, report), emit.unmatched(found, table), skipped, tags, shown)
+
+
+def asks_for_tags(c: Condition) -> bool:
+    return c.op == "builtin.hasTags" or (c.op in ("and", "or") and any(asks_for_tags(x) for x in c.value))

@@ -49,7 +49,67 @@ def pom_dependencies(files: DataFrame) -> DataFrame:
     return blocks.select("path", F.concat_ws(".", field("groupId"), field("artifactId")).alias("name"), F.when(name != "", value).otherwise(version).alias("version"))
 
 
+def pom_rows(files: DataFrame) -> DataFrame:
+    """The dependencies of all POMs as dependency rows."""
+    return pom_dependencies(files).select(F.col("path").alias("file_uri"), "name", "version", F.lit("").alias("type"), F.lit("").alias("resolved_id"), F.lit(False).alias("indirect"))
+
+
 def go_graph(text: DataFrame) -> DataFrame:
     """``(parent, child)`` from lines of two modules."""
     parts = F.split("value", r"\s+")
     return text.filter(F.size(parts) == 2).select(F.get(parts, F.lit(0)).alias("parent"), F.get(parts, F.lit(1)).alias("child"))
+
+
+def maven_listing(lines_: DataFrame) -> DataFrame:
+    """``lines_(path, line_no, line)`` of dependency-tree output -> ``(path, module, line_no, depth, name, version, classifier, type, parent)``.
+
+    A module's part begins with its own coordinate, a line of three to five parts without tree marks, which is no dependency. A
+    dependency's depth is the width of its marks by three; its parent is the last line above that is one level higher."""
+    text = F.trim(F.regexp_replace("line", r"^\[INFO\]\s?", ""))
+    rows = lines_.select("path", "line_no", F.regexp_extract(F.regexp_replace("line", r"^\[INFO\]\s?", ""), r"^((?:[|\s]{3})*(?:[+\\]-\s))", 1).alias("marks"), text.alias("text"))
+    rows = rows.withColumn("starts", (F.col("marks") == "") & F.col("text").rlike(r"^[\w.-]+(:[\w.-]+){2,4}$"))
+    order = W.partitionBy("path").orderBy("line_no")  # one listing
+    rows = rows.withColumn("module", F.sum(F.col("starts").cast("int")).over(order)).filter("module > 0 and marks <> ''")
+    rows = rows.withColumn("depth", F.floor(F.length("marks") / 3).cast("int") - 1).withColumn("c", maven_coordinate(F.regexp_replace("text", r"^[|\s+\\-]+", "")))
+    rows = rows.select("path", "module", "line_no", "depth", "c.*").withColumn("listing", F.concat_ws("#", "path", F.col("module").cast("string")))
+    return tree_parents(rows, "listing", "line_no", "depth", "name").drop("listing")
+
+
+def gradle_listing(lines_: DataFrame) -> DataFrame:
+    """``(path, line_no, depth, name, version, parent)`` from lines such as ``|    +--- a:b:1 -> 2``; five characters a level.
+    Lines that only repeat a part or could not be resolved keep their place."""
+    rows = lines_.select("path", "line_no", F.regexp_extract("line", r"^((?:[|\s]\s{4})*[+\\]---\s)", 1).alias("marks"), "line").filter("marks <> ''")
+    rows = rows.withColumn("depth", F.floor(F.length("marks") / 5).cast("int") - 1)
+    rows = rows.select("path", "line_no", "depth", gradle_coordinate(F.expr("substring(line, length(marks) + 1)")).alias("c")).select("path", "line_no", "depth", "c.*")
+    return tree_parents(rows, "path", "line_no", "depth", "name")
+
+
+def dependency_json(text: DataFrame) -> DataFrame:
+    """``text(value)``: one JSON object of file -> dependencies a row, as external tools print it -> dependency rows."""
+    kind = "map<string,array<struct<name:string,version:string,classifier:string,type:string,resolvedIdentifier:string,indirect:boolean>>>"
+    files = text.select(F.explode(F.from_json("value", kind)).alias("file_uri", "deps"))
+    rows = files.select("file_uri", F.explode("deps").alias("d"))
+    return rows.select("file_uri", "d.name", "d.version", F.coalesce("d.classifier", F.lit("")).alias("classifier"), F.coalesce("d.type", F.lit("")).alias("type"), F.coalesce("d.resolvedIdentifier", F.lit("")).alias("resolved_id"), F.coalesce("d.indirect", F.lit(False)).alias("indirect"))
+
+
+def unresolved_sources(log: DataFrame) -> DataFrame:
+    """``log(line)`` of a build that fetches sources -> ``coordinate`` of artifacts that exist but have no sources: those reported
+    without sources, less those reported missing themselves."""
+    parts = F.struct(F.regexp_extract("line", r"([\w.-]+:[\w.-]+:[\w.-]+):sources:[\w.-]+", 1).alias("head"), F.regexp_extract("line", r":sources:([\w.-]+)", 1).alias("version"))
+    bare = log.select(parts.alias("p")).filter("p.head <> ''").select(F.concat_ws(":", "p.head", "p.version").alias("coordinate"))
+    absent = log.select(F.regexp_extract("line", r"artifact ([\w.-]+:[\w.-]+:[\w.-]+:[\d][\w.-]*)", 1).alias("coordinate")).filter("coordinate <> ''")
+    return bare.distinct().join(absent.distinct(), "coordinate", "left_anti")
+
+
+def repository_path(group: Column, artifact: Column, version: Column) -> Column:
+    """Where a local repository keeps an artifact: the group as directories, then artifact and version."""
+    return F.concat_ws("/", F.replace(group, F.lit("."), F.lit("/")), artifact, version, F.concat(artifact, F.lit("-"), version, F.lit(".jar")))
+
+
+def build_tool(names: set[str]) -> str | None:
+    """The tool that a directory's file names call for: Gradle, then an archive, then Maven."""
+    if names & {"build.gradle", "build.gradle.kts", "gradlew"}:
+        return "gradle"
+    if any(x.endswith((".jar", ".war", ".ear")) for x in names):
+        return "binary"
+    return "maven" if "pom.xml" in names else None

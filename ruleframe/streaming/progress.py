@@ -57,3 +57,11 @@ def prometheus(rows: DataFrame, name: str, keys: list[str], value: str) -> DataF
     """Metric rows in text exposition form."""
     labels = F.concat_ws(",", *(F.concat(F.lit(k + '="'), F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit('"')) for k in keys))
     return rows.select(F.concat(F.lit(name + "{"), labels, F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def span_times(starts: DataFrame, ends: DataFrame, within: str = "1 hour") -> DataFrame:
+    """``starts(span, parent, ts)`` and ``ends(span, ts)`` -> ``(span, parent, ms)``: a span's begin meets its end. On streams both
+    sides need a watermark on ``ts``, which lets Spark drop a begin whose end is later than ``within``."""
+    a, b = starts.select("span", "parent", F.col("ts").alias("begun")), ends.select(F.col("span").alias("ended_span"), F.col("ts").alias("ended"))
+    on = (F.col("span") == F.col("ended_span")) & (F.col("ended") >= F.col("begun")) & (F.col("ended") <= F.col("begun") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, on).select("span", "parent", (F.unix_millis("ended") - F.unix_millis("begun")).alias("ms"))
