@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,6 +44,23 @@ def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for all its tasks."""
+    held = sys.modules.setdefault("ruleframe_worker_cache", types.ModuleType("ruleframe_worker_cache")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
+def text_slices(texts: pa.Array, most_bytes: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of up to ``most_bytes`` bytes, or of one longer text."""
+    sizes, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + most_bytes, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def pieces(rows: int, each: int = 20_000, least: int = 64) -> int:
     return max(least, -(-rows // each))
 

@@ -2,44 +2,44 @@
 
 A document is the set of its distinct word n-grams, held as 64-bit numbers in one global order: frequent n-grams last, the
 rest by number. Two sets with the wanted Jaccard similarity share a number within a prefix of each. Documents that share a
-prefix number meet in the bucket of the smallest of them. In a bucket sets are stored in a trie, and every set runs down the
-trie once: sets with a common beginning share the partial overlap, and a subtree is left as soon as the numbers that remain
-cannot reach the overlap it needs, or when all its sets are in the component of the running set already.
+prefix number meet in the bucket of the smallest of them. There, parity sketches (a bit for every few numbers) show which
+sets cannot be similar: sketches differ in no more bits than the sets in numbers. Those that may be similar are stored in a
+trie, and every set runs down the trie once: sets with a common beginning share the partial overlap, and a subtree is left as
+soon as the numbers that remain cannot reach the overlap it needs, or when all its sets are in the component of the running
+set already.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import Scratch, checked_broadcast, components
+from ruleframe.llm.common import Scratch, checked_broadcast, components, text_slices
 
 #: Frequent n-grams that are moved to the end of the global order; a list of this length at most goes to every task.
 FREQUENT = 100_000
 FLIP = np.uint64(1 << 63)
 
 
-class Words:
-    """64-bit numbers of words, remembered for a bounded number of words."""
-
-    def __init__(self, most: int = 400_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # lower() and split() of bytes know ASCII only
-        if new := [w for w in {*words} if w not in self.known]:
-            if len(self.known) > self.most:
-                self.known.clear()
-                new = [*{*words}]
-            self.known.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in new)
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's number of words, and the 64-bit numbers of all words one after another. Words end at x20 and x09-x0D."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = pc.ascii_split_whitespace(trimmed)
+    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = words.flatten().dictionary_encode()
+    known = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in flat.dictionary.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(flat.dictionary))
+    numbers = known[flat.indices.to_numpy()] if len(flat) else np.zeros(0, dtype=np.uint64)
+    blank = pc.equal(trimmed, "").to_numpy(zero_copy_only=False)
+    if blank.any():  # an empty text is split into one empty word
+        numbers = np.delete(numbers, (np.cumsum(counts) - counts)[blank & (counts > 0)])
+        counts = np.where(blank, 0, counts)
+    return counts, numbers
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,15 +48,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(numbers: np.ndarray, n: int) -> np.ndarray:
-    """The sorted distinct n-gram numbers of a word sequence; with fewer words than ``n``, the whole sequence is one."""
-    if not len(numbers):
-        return numbers
-    n = min(n, len(numbers))
+def rolled(numbers: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(len(numbers) - n + 1, dtype=np.uint64)
     for k in range(n):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + numbers[k : len(numbers) - n + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """For each text, the sorted distinct n-gram numbers; with fewer words than ``n``, the whole sequence is one n-gram."""
+    for lo, hi in text_slices(texts):
+        counts, numbers = word_numbers(texts.slice(lo, hi - lo))
+        grams = rolled(numbers, n) if len(numbers) >= n else numbers[:0]
+        at = 0
+        for count in counts.tolist():
+            yield numbers[:0] if not count else np.unique(grams[at : at + count - n + 1]) if count >= n else rolled(numbers[at : at + count], count)
+            at += count
 
 
 def prefix_length(size: int, share: tuple[int, int]) -> int:
@@ -82,46 +89,49 @@ def name_of(numbers: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def sketch(numbers: np.ndarray) -> bytes:
+    """A bit for each remainder of the numbers, on if an odd number of them has it; as many bits as numbers, rounded up to a power of two."""
+    bits = max(64, 1 << (max(len(numbers), 1) - 1).bit_length())
+    odd = np.bincount((numbers & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, size, a, b)``: the set's size and 128-bit name."""
+    """``docs(doc_id, text)`` -> ``(doc_id, size, a, b, sketch)``: the set's size, 128-bit name and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            sets = [shingles(words.numbers(x), n) for x in batch.column(1).to_pylist()]
-            names = np.array([name_of(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1])], names=["doc_id", "size", "a", "b"])
+            out = [(len(s), *name_of(s), sketch(s)) for s in shingle_sets(batch.column(1), n)]
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "size", "a", "b", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, size long, a long, b long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, size long, a long, b long, sketch binary")
 
 
-def prefixes(docs: DataFrame, n: int, share: tuple[int, int], frequent, named: bool) -> DataFrame:
-    """``(gram[, a, b, size])``: the prefix numbers of every document's set."""
+def prefixes(docs: DataFrame, n: int, share: tuple[int, int], frequent) -> DataFrame:
+    """``(gram, a)``: the prefix numbers of every document's set, with the first half of the set's name. A set that a task has
+    met just before is not repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, late = Words(), frequent.value if frequent is not None else np.zeros(0, dtype=np.uint64)
+        late, met = frequent.value if frequent is not None else np.zeros(0, dtype=np.uint64), set()
         for batch in batches:
-            out, names, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingles(words.numbers(text), n)
-                out.append(in_order(s, late)[: prefix_length(len(s), share)] if len(s) else s)
-                if named:
-                    names.append(name_of(s))
-                    sizes.append(len(s))
-            grams = pa.array(np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64))
-            columns = [grams]
-            if named:
-                times, names = [len(x) for x in out], np.array(names, dtype=np.int64).reshape(-1, 2)
-                columns += [pa.array(np.repeat(names[:, 0], times)), pa.array(np.repeat(names[:, 1], times)), pa.array(np.repeat(np.array(sizes, dtype=np.int64), times))]
-            yield pa.RecordBatch.from_arrays(columns, names=["gram", "a", "b", "size"][: len(columns)])
-
-    return docs.select("text").mapInArrow(run, "gram long" + (", a long, b long, size long" if named else ""))
-
-
-def frequent_numbers(docs: DataFrame, n: int, share: tuple[int, int]) -> np.ndarray:
+            out, names = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            if len(met) > 500_000:
+                met.clear()
+            for s in shingle_sets(batch.column(0), n):
+                if not len(s) or (name := name_of(s)) in met:
+                    continue
+                met.add(name)
+                out.append(in_order(s, late)[: prefix_length(len(s), share)])
+                names.append(np.full(len(out[-1]), name[0], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(names))], names=["gram", "a"])
+
+    return docs.select("text").mapInArrow(run, "gram long, a long")
+
+
+def frequent_numbers(docs: DataFrame, scratch: Scratch, n: int, share: tuple[int, int]) -> np.ndarray:
     """Prefix n-grams by falling frequency, ``FREQUENT`` of them at most. They only set the global order: any order gives the same result."""
-    counts = prefixes(docs, n, share, None, False).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n >= 16")
-    scratch = Scratch(docs.sparkSession, "frequent")
+    counts = prefixes(docs, n, share, None).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n >= 16")
     counts = scratch.keep(counts, "counts")
     least, total = 16, 0
     for r in counts.groupBy(F.floor(F.log2("n") * 4).alias("level")).count().orderBy(F.desc("level")).collect():  # under 300 rows
@@ -209,18 +219,149 @@ def trie_links(sets: list[np.ndarray], sides: np.ndarray | None, share: tuple[in
     return out
 
 
-def links_in_buckets(rows: DataFrame, share: tuple[int, int], frequent) -> DataFrame:
-    """``rows(bucket, half, side, doc_id, grams)`` -> links ``(src, dst)``; each (bucket, half) is one trie of bounded size."""
+class Groups:
+    """Components of 0..n-1 under links."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", ignore_index=True)
-        sets = [ordered(np.frombuffer(g, dtype=np.uint64), frequent.value) for g in pdf["grams"]]
-        sides = (pdf["side"] == pdf["side"].max()).to_numpy().astype(int) if pdf["side"].nunique() > 1 else None
-        found = np.array(trie_links(sets, sides, share), dtype=np.int64).reshape(-1, 2)
-        ids = pdf["doc_id"].to_numpy()
-        return pd.DataFrame({"src": ids[found[:, 0]], "dst": ids[found[:, 1]]})
+    def link(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer bits from one of more."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def possible_pairs(sizes: np.ndarray, sketches: list[bytes], sides: np.ndarray | None, share: tuple[int, int]) -> tuple[Groups, np.ndarray]:
+    """The components of the sets that sketches leave as possibly similar, and each set's number of such partners; the sets are
+    sorted by size. With ``sides``, pairs within one side are the task of another block."""
+    n, (num, den) = len(sizes), share
+    groups, partners, tables = Groups(n), np.zeros(n, dtype=np.int64), {}
+    bits = [np.frombuffer(x, dtype=np.uint64) for x in sketches]
+    ends = np.searchsorted(sizes, sizes * den // num, side="right")
+    for i in range(n - 1):
+        if ends[i] <= i + 1:
+            continue
+        words = len(bits[i])
+        if words not in tables:
+            tables.clear()  # sizes rise, and so do the sketches' lengths
+            tables[words] = (i, np.stack([folded(x, words) for x in bits[i : ends[n - 1]]]))
+        first, table = tables[words]
+        differ = np.bitwise_count(table[i + 1 - first : ends[i] - first] ^ table[i - first]).sum(1)
+        both = sizes[i] + sizes[i + 1 : ends[i]]
+        may = differ <= both - 2 * -(-num * both // (num + den))
+        if sides is not None:
+            may &= sides[i + 1 : ends[i]] != sides[i]
+        found = np.flatnonzero(may) + i + 1
+        partners[i] += len(found)
+        partners[found] += 1
+        for j in found.tolist():
+            groups.link(i, j)
+    return groups, partners
+
+
+def by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[tuple, pa.Table], pa.Table]) -> DataFrame:
+    """Runs ``work`` on every group of ``keys`` (longs without nulls), in tasks that read their sorted rows one group after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+            cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                now = tuple(columns[:, lo].tolist())
+                if held and now != key:
+                    yield from work(key, pa.Table.from_batches(held).combine_chunks()).to_batches()
+                    held = []
+                key = now
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from work(key, pa.Table.from_batches(held).combine_chunks()).to_batches()
 
-    return rows.groupBy("bucket", "half").applyInPandas(block, "src long, dst long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def with_grams(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """``rows(id, ...)`` with the n-gram numbers of each id's text as bytes, column ``grams``."""
+    names = [x for x in rows.columns if x != "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ["id", *names]), grams], names=["id", *names, "grams"])
+
+    kinds = dict(rows.dtypes)
+    chosen = docs.select(F.col("doc_id").alias("id"), "text").join(checked_broadcast(rows, rows.count()), "id").select("id", *names, "text")
+    return chosen.mapInArrow(run, "id long, " + ", ".join(f"{x} {kinds[x]}" for x in names) + ", grams binary")
+
+
+def dealt_by_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``rows(bucket, id, n, ...)`` with ``half, side``: buckets of up to ``block_rows`` rows are one block (-1); of larger ones
+    every row goes to all pairs of its own block with another."""
+    blocks = F.ceil(F.col("n") / block_rows).cast("long")
+    own = F.when(blocks > 1, F.pmod(F.xxhash64("id"), blocks)).otherwise(0).cast("long")
+    out = rows.withColumns({"blocks": blocks, "side": own}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    half = F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")
+    return out.withColumn("half", F.when(F.col("blocks") > 1, half).otherwise(-1)).drop("blocks", "other")
+
+
+def may_be_similar(members: DataFrame, share: tuple[int, int], block_rows: int) -> DataFrame:
+    """``members(bucket, id, size, sketch)`` -> ``(kind, grp, id, partners)``: groups of sets that may be similar. A bucket in one
+    block falls into its components (kind 0, named by the smallest id); a larger one stays one group (kind 1)."""
+
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        order = np.lexsort((rows["id"].to_numpy(), rows["size"].to_numpy()))
+        rows = rows.take(pa.array(order))
+        ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
+        groups, partners = possible_pairs(rows["size"].to_numpy(), rows["sketch"].to_pylist(), (side == side.max()) if side.min() != side.max() else None, share)
+        names, roots = {}, [groups.find(i) for i in range(len(ids))]
+        for i, r in zip(ids.tolist(), roots, strict=True):
+            names[r] = min(i, names.get(r, i))
+        kept = partners > 0
+        grp = np.array([names[r] for r in roots], dtype=np.int64) if key[1] == -1 else np.full(len(ids), key[0])
+        return pa.table({"kind": pa.array(np.full(int(kept.sum()), int(key[1] != -1), dtype=np.int64)), "grp": grp[kept], "id": ids[kept], "partners": partners[kept]})
+
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = dealt_by_pairs(members.join(counts, "bucket"), block_rows).select("bucket", "half", "side", "id", "size", "sketch")
+    found = by_group(dealt, ["bucket", "half"], "kind long, grp long, id long, partners long", work)
+    return found.groupBy("kind", "grp", "id").agg(F.sum("partners").alias("partners"))
+
+
+def links_by_tries(rows: DataFrame, share: tuple[int, int], frequent) -> DataFrame:
+    """``rows(kind, grp, half, side, pivot, id, grams)`` -> links ``(kind, grp, src, dst)``, and a row without ``dst`` for each set
+    that is not joined to its block's pivot. Each (kind, grp, half) is one trie of bounded size."""
+
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows["id"].to_numpy(), kind="stable")))
+        ids, side, pivot = (rows[x].to_numpy() for x in ("id", "side", "pivot"))
+        sets = [ordered(np.frombuffer(g, dtype=np.uint64), frequent.value) for g in rows["grams"].to_pylist()]
+        found = trie_links(sets, (side == side.max()).astype(int) if side.min() != side.max() else None, share)
+        src, dst = [int(ids[a]) for a, _ in found], [int(ids[b]) for _, b in found]
+        if pivot.any():
+            groups = Groups(len(ids))
+            for a, b in found:
+                groups.link(a, b)
+            at = groups.find(int(pivot.argmax()))
+            apart = [int(i) for k, i in enumerate(ids) if groups.find(k) != at]
+            src, dst = src + apart, dst + [None] * len(apart)
+        names = [pa.array(np.full(len(src), x, dtype=np.int64)) for x in key[:2]]
+        return pa.table({"kind": names[0], "grp": names[1], "src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return by_group(rows, ["kind", "grp", "half"], "kind long, grp long, src long, dst long", work)
 
 
 def near_documents(docs: DataFrame, scratch: Scratch, n: int = 5, share: tuple[int, int] = (80, 100), block_rows: int = 400) -> DataFrame:
@@ -229,72 +370,49 @@ def near_documents(docs: DataFrame, scratch: Scratch, n: int = 5, share: tuple[i
     Words are runs of characters other than space and x09-x0D, with A-Z in lower case; a document with fewer than ``n`` words
     has its whole sequence as one n-gram; one without words or text has an empty set, links with nothing and is its own
     component. Documents link when share[1] * intersection >= share[0] * union, and the component is the smallest doc_id
-    reachable. Rows that repeat a doc_id share its component. A null
-    doc_id links with nothing. No rows give no rows; columns beside doc_id and text are not read.
+    reachable. Rows that repeat doc_id and text are one document; a row that repeats a doc_id with another text has that text's
+    component. A null doc_id links with nothing. No rows give no rows; columns beside doc_id and text are not read.
     """
     spark = docs.sparkSession
     sets = scratch.keep(document_sets(docs, n), "sets")
-    ids = scratch.keep(sets.filter("size > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("id")), "classes")
-    frequent = spark.sparkContext.broadcast(frequent_numbers(docs, n, share))
-    # equal sets have one name, so a group of copies is one row of each list
-    lists = prefixes(docs.filter("doc_id is not null"), n, share, frequent, True)
-    lists = scratch.keep(lists.groupBy("gram", "a", "b").agg(F.first("size").alias("size")), "lists")
-    first = lists.groupBy("gram").agg(F.min(F.struct("a", "b")).alias("bucket"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = lists.join(first, "gram").select("bucket", "a", "b").distinct()
-    members = scratch.keep(members.join(ids, ["a", "b"]).select(F.concat_ws(":", "bucket.a", "bucket.b").alias("bucket"), "id"), "members")
-    wanted = scratch.keep(members.select("id").distinct(), "wanted")
-    payload = grams_of(docs, wanted, n)
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sized = members.join(counts, "bucket")
-    payload = scratch.keep(payload, "payload")
-    # a bucket beyond a block: first every member against the bucket's smallest member, then only what is not joined by that
-    # against all, block by block
-    big = sized.filter(F.col("n") > block_rows)
-    pivots = big.groupBy("bucket").agg(F.min("id").alias("pivot"))
-    pivoted = big.join(pivots, "bucket").join(payload.select(F.col("id"), F.col("grams").alias("own")), "id")
-    pivoted = pivoted.join(payload.select(F.col("id").alias("pivot"), F.col("grams").alias("theirs")), "pivot")
-    pivoted = scratch.keep(with_similarity(pivoted, share).drop("own", "theirs"), "pivoted")
-    easy = pivoted.filter("near and id <> pivot").select(F.col("id").alias("src"), F.col("pivot").alias("dst"))
-    counts = pivoted.groupBy("bucket").agg(F.sum(F.col("near").cast("long")).alias("near_n"), F.sum((~F.col("near")).cast("long")).alias("rest_n"))
-    placed = pivoted.select("bucket", "id", "near").join(counts, "bucket").filter("rest_n > 0")
-    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
-    placed = placed.withColumn("rest_b", blocks("rest_n")).withColumn("all_b", F.col("rest_b") + blocks("near_n"))
-    placed = placed.withColumn("side", F.when(F.col("near"), F.col("rest_b") + F.pmod(F.xxhash64("id"), F.greatest(F.col("all_b") - F.col("rest_b"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest_b"))).cast("int"))
-    # blocks 0..rest_b-1 hold what is not joined; they meet one another and themselves, and every block that is joined
-    placed = placed.withColumn("other", F.explode(F.when(F.col("near"), F.sequence(F.lit(0), F.col("rest_b") - 1)).otherwise(F.sequence(F.lit(0), F.col("all_b") - 1))))
-    placed = placed.select("bucket", (F.least("side", "other") * F.col("all_b") + F.greatest("side", "other")).alias("half"), "side", "id")
-    small = sized.filter(F.col("n") <= block_rows).select("bucket", F.lit(-1).alias("half"), F.lit(0).alias("side"), "id")
-    tasks = small.unionAll(placed).join(payload, "id").select("bucket", "half", "side", F.col("id").alias("doc_id"), "grams")
-    links = scratch.keep(links_in_buckets(tasks, share, frequent).unionAll(easy), "links")
+    # equal sets have one name, so a group of copies is one member of each list
+    named = sets.filter("size > 0 and doc_id is not null")
+    ids = scratch.keep(named.groupBy("a", "b").agg(F.min("doc_id").alias("id")), "classes")
+    frequent = spark.sparkContext.broadcast(frequent_numbers(docs, scratch, n, share))
+    lists = prefixes(docs.filter("doc_id is not null"), n, share, frequent).repartition("gram").dropDuplicates(["gram", "a"])
+    first = lists.groupBy("gram").agg(F.min("a").alias("bucket"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    members = lists.join(first, "gram").select("bucket", "a").distinct()
+    reps = named.select("doc_id", "a", "b", "size", "sketch").join(ids.select("a", "b", F.col("id").alias("doc_id")), ["a", "b", "doc_id"]).dropDuplicates(["a", "b"])
+    members = scratch.keep(members.join(reps.select("a", F.col("doc_id").alias("id"), "size", "sketch"), "a").drop("a"), "members")
+    chosen = scratch.keep(may_be_similar(members, share, block_rows), "chosen")
+    sized = chosen.join(chosen.groupBy("kind", "grp").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("partners", -F.col("id"))).alias("top")), ["kind", "grp"])
+    # a group beyond a block: in the first round every block holds the set with most possible partners too; what that round does
+    # not join to it meets all others in a second round, block by block
+    parts = F.when(F.col("n") > block_rows, F.ceil(F.col("n") / block_rows)).otherwise(1).cast("long")
+    sized = sized.withColumn("parts", parts).filter("n > 1")
+    own = sized.filter("parts = 1 or id <> top").select("kind", "grp", F.pmod(F.xxhash64("id"), F.col("parts")).alias("half"), F.lit(False).alias("pivot"), "id")
+    tops = sized.filter("parts > 1 and id = top").select("kind", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("half"), F.lit(True).alias("pivot"), "id")
+    rows = own.unionByName(tops).withColumn("side", F.lit(0).cast("long"))
+    tried = scratch.keep(links_by_tries(with_grams(docs, rows, n), share, frequent), "tried-1")
+    links = tried.filter("dst is not null").select("src", "dst")
+    apart = tried.filter("dst is null").select("kind", "grp", F.col("src").alias("id"))
+    if not apart.isEmpty():
+        flagged = sized.filter("parts > 1").join(apart.withColumn("apart", F.lit(True)), ["kind", "grp", "id"], "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+        counts = flagged.groupBy("kind", "grp").agg(F.count_if("apart").alias("apart_n"), F.count_if(~F.col("apart")).alias("joined_n")).filter("apart_n > 0")
+        blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("long")
+        placed = flagged.select("kind", "grp", "id", "apart").join(counts, ["kind", "grp"]).withColumn("few", blocks("apart_n")).withColumn("all", F.col("few") + blocks("joined_n"))
+        spot = F.when(F.col("apart"), F.pmod(F.xxhash64("id"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("id"), F.greatest(F.col("all") - F.col("few"), F.lit(1))))
+        # blocks 0..few-1 hold what stands apart; they meet one another, themselves and every block of what is joined
+        meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("all")).otherwise(F.col("few")) - 1)
+        placed = placed.withColumn("side", spot).withColumn("other", F.explode(meets))
+        half = F.least("side", "other") * F.col("all") + F.greatest("side", "other")
+        placed = scratch.keep(placed.select("kind", "grp", half.alias("half"), "side", F.lit(False).alias("pivot"), "id"), "placed")
+        more = scratch.keep(links_by_tries(with_grams(docs, placed, n), share, frequent), "tried-2")
+        links = links.unionAll(more.select("src", "dst"))
     groups = components(links, scratch, "components").withColumnRenamed("id", "rep")
     out = sets.join(ids.withColumnRenamed("id", "rep"), ["a", "b"], "left").join(groups, "rep", "left")
-    smallest = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), smallest).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def grams_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(words.numbers(x), n).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["id", "grams"])
-
-    chosen = docs.select(F.col("doc_id").alias("id"), "text").join(checked_broadcast(wanted, wanted.count()), "id", "left_semi")
-    return chosen.mapInArrow(run, "id long, grams binary")
-
-
-def with_similarity(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Adds ``near``: whether the sets ``own`` and ``theirs`` are similar."""
-
-    @F.pandas_udf("boolean")
-    def near(own: pd.Series, theirs: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(own, theirs, strict=True):
-            a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(share[1] * both >= share[0] * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
-
-    return rows.withColumn("near", near("own", "theirs"))
+    joined = F.col("doc_id").isNotNull() & (F.col("size") > 0)
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(joined, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
