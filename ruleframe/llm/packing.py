@@ -8,52 +8,105 @@ into the best fit. All this is on a histogram of bounded size; tails then get th
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import Scratch, pieces, sum_before
+from ruleframe.llm.common import Scratch, pieces, sum_before, text_slices, worker_cache
 
-#: A single space between two other characters always ends a token of this vocabulary; texts with other runs of white space go whole.
-ODD_SPACE = r"\s\s|[^\S \n]|^\s|\s$"
+#: A single space between two other characters always begins a token of this vocabulary; texts with other runs of white space go
+#: whole. White space is what Unicode and Python call so; line feeds may stand between words.
+SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD_SPACE = rf"[{SPACE}][{SPACE}]|[{SPACE.replace('\\n', '').replace(' ', '')}]|^[{SPACE}]|[{SPACE}]$"
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int, cached_words: int = 300_000) -> DataFrame:
-    """``(doc_id, start, length, ids_crc32, doc_tokens, copy)``: whole windows from each document's front, then its tail."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+class Encoder:
+    """Token ids of many texts; each distinct word of a slice is encoded once, and a bounded number is remembered."""
 
+    def __init__(self, vocabulary: str, most: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        added = [re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values()]  # a text that spells one of these goes whole
-        odd, known, end = re.compile("|".join([ODD_SPACE, *added])).search, {}, np.uint32(end_id).astype("<u4").tobytes()
-        encode = lambda xs: (np.array(x.ids, dtype="<u4").tobytes() for x in tokenizer.encode_batch_fast(xs, add_special_tokens=False))
+        self.tokenizer, self.known, self.most = Tokenizer.from_file(vocabulary), {}, most
+        added = self.tokenizer.get_added_tokens_decoder()
+        plain = [(x.content, k) for k, x in added.items() if not (x.lstrip or x.rstrip or x.single_word or x.normalized)]
+        self.mark = min(plain, default=None)
+        self.odd = "(?s)" + "|".join([ODD_SPACE, r"\x00", *(re.escape(x.content) for x in added.values())])  # a text that spells an added token goes whole
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(x.ids, dtype="<u4").tobytes()
+
+    def encode_words(self, words: list[str], at_once: int = 2_000) -> Iterator[bytes]:
+        """Words joined by an added token, which parts them whatever they are, and cut at its id again."""
+        if not self.mark:
+            yield from self.encode(words)
+            return
+        for lo in range(0, len(words), at_once):
+            some = words[lo : lo + at_once]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.mark[1]).tolist(), len(ids)]
+            data = ids.tobytes()
+            yield from (data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+    def by_words(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts whose only white space is single characters between words. Cut is before a space, around a line feed, and
+        between a letter and a mark: there a token ends in any case."""
+        parted = pc.replace_substring(texts, " ", "\0 ")
+        parted = pc.replace_substring_regex(parted, r"(\pL)([.,;:!?\n])", "\\1\0\\2")
+        split = pc.split_pattern(pc.replace_substring(parted, "\n", "\n\0"), "\0")
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded, starts = split.flatten().dictionary_encode(), np.cumsum(counts) - counts
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = [w for w in names if w not in self.known]
+        self.known.update(zip(new, self.encode_words(new), strict=True))
+        ids = [self.known[w] for w in names]
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        data, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), lengths[codes]
+        ends = np.cumsum(sizes)
+        at = np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - sizes), sizes) + np.arange(ends[-1])
+        out, cuts = data[at], [0, *ends[starts[1:] - 1].tolist(), int(ends[-1])]
+        return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, without an end."""
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        out = [b""] * len(texts)
+        for mask, make in ((~odd & ~empty, self.by_words), (odd & ~empty, lambda xs: self.encode(xs.to_pylist()))):
+            at = np.flatnonzero(mask)
+            if len(at):
+                for k, x in zip(at.tolist(), make(texts.take(pa.array(at))), strict=True):
+                    out[k] = x
+        return out
+
+
+def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> DataFrame:
+    """``(doc_id, start, length, ids_crc32, doc_tokens)``: whole windows from each document's front, then its tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = worker_cache(f"encoder {vocabulary}", lambda: Encoder(vocabulary)), np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = [text] if not text or odd(text) else text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-                if len(words) == 1:
-                    ids = (next(encode([text])) if text else b"") + end
-                else:
-                    if new := [w for w in {*words} if w not in known]:
-                        if len(known) > cached_words:
-                            known.clear()
-                            new = [*{*words}]
-                        known.update(zip(new, encode(new), strict=True))
-                    ids = b"".join([known[w] for w in words]) + end
-                n = len(ids) // 4
-                for start in range(0, n, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    for column, x in zip(out, (doc_id, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for lo, hi in text_slices(batch.column(1)):
+                out: list[list] = [[], [], [], [], []]
+                for doc, ids in zip(range(lo, hi), encoder.ids(batch.column(1).slice(lo, hi - lo)), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, window):
+                        piece = ids[4 * start : 4 * (start + window)]
+                        for column, x in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
