@@ -3,8 +3,8 @@
 Two lines within ``edits`` insertions, deletions and substitutions share one of ``edits + 1`` segments of the shorter line, at
 a place in the longer one that its length and the segment's number bound. So every distinct line is an entry of ``edits + 1``
 index lists, keyed by (length, segment number, segment), and probes those of each length it may meet with the few substrings
-that can match. A pair leaves the join only if its words differ by no more than the edits can change, so lines of near copies
-that share a segment and differ elsewhere are no candidates. Those are verified by a banded bit-parallel edit distance.
+that can match. Where many lines share a segment, a pair leaves the join only if its 3-grams differ by no more than the edits
+can change. Pairs that most pieces of one line bear out are verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -34,10 +34,33 @@ def keys(line: Column, chars: Column, edits: int, shorter: int, probes: bool) ->
     return out
 
 
-def word_bits(line: Column) -> Column:
-    """A bit for each word's hash, on if an odd number of words has it. An edit changes, cuts or joins words and so turns three bits at most."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(w).bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+#: Index lists of more lines than this are hot.
+HOT_LINES = 8
+
+
+def gram_bits(line: Column, longs: int = 4) -> Column:
+    """Parity bits of a line's 3-grams, 64 a field w0, w1, ...: on if an odd number of 3-grams has the bit. An edit takes three 3-grams away and
+    brings three at most, so it turns six bits at most."""
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - 2, F.lit(1))), lambda i: F.xxhash64(F.substring(line, i, F.lit(3))))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    part = lambda h: F.pmod(F.shiftright(h, 6), F.lit(longs))
+    zero = F.struct(*(F.lit(0).cast("long").alias(f"w{k}") for k in range(longs)))
+    return F.aggregate(grams, zero, lambda s, h: F.struct(*(s[f"w{k}"].bitwiseXOR(F.when(part(h) == k, bit(h)).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(longs))))
+
+
+def pieces_found(a: Column, b: Column, edits: int) -> Column:
+    """How many of ``2 * (edits + 2)`` pieces of ``a`` stand in ``b`` where up to ``edits`` edits can have moved them. An edit spoils one piece at most."""
+    parts, n = 2 * (edits + 2), F.length(a)
+    out = F.lit(0)
+    for k in range(parts):
+        start, end = F.floor(n * k / parts).cast("int") + 1, F.floor(n * (k + 1) / parts).cast("int") + 1
+        piece = F.substring(a, start, end - start)
+        hits = [(start + shift >= 1) & (F.substring(b, start + shift, end - start) == piece) for shift in range(-edits, edits + 1)]
+        found = hits[0]
+        for h in hits[1:]:
+            found = found | h
+        out = out + F.when(found, 1).otherwise(0)
+    return out
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -91,16 +114,29 @@ def near_line_pairs(docs: DataFrame, scratch: Scratch, edits: int = 2, min_chars
     if min_chars < 4 * (edits + 1):
         raise ValueError("lines must have four characters a segment at least")
 
-    lines = lines_of(docs, min_chars).select("h1", "line", "chars", word_bits(F.col("line")).alias("bits"))
+    lines = lines_of(docs, min_chars).select("h1", "line", "chars")
     listed = lambda ks: F.posexplode(F.array(*ks)).alias("pos", "key")
-    index = lines.select("h1", "bits", listed(keys(F.col("line"), F.col("chars"), edits, 0, False)))
-    index = index.groupBy("key", F.col("h1").alias("a1")).agg(F.max("bits").alias("a_bits"))
+    index = lines.select("h1", listed(keys(F.col("line"), F.col("chars"), edits, 0, False)))
+    index = scratch.keep(index.groupBy("key", F.col("h1").alias("a1")).agg(F.lit(1).alias("n")).select("key", "a1"), "index")
     probing = [keys(F.col("line"), F.col("chars"), edits, shorter, True) for shorter in range(edits + 1)]
-    probe = lines.select(F.col("h1").alias("b1"), F.col("bits").alias("b_bits"), listed([k for ks in probing for k in ks]))
-    # lines of one length probe one another, so one of the two ways is enough; pairs whose words differ too much never leave the join
+    probe = lines.select(F.col("h1").alias("b1"), listed([k for ks in probing for k in ks]))
+    # lines of one length probe one another, so one of the two ways is enough
     once = (F.col("pos") >= len(probing[0])) & (F.col("a1") != F.col("b1")) | (F.col("a1") < F.col("b1"))
-    like = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 3 * edits
-    met = probe.join(index, (probe["key"] == index["key"]) & once & like)
+    # a hot list takes part as one row without a line, which finds its probes
+    hot = scratch.keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_LINES).select("key"), "hot")
+    few = checked_broadcast(hot, hot.count())
+    lists = index.join(few, "key", "left_anti").unionAll(hot.select("key", F.lit(None).cast("long").alias("a1")))
+    found = scratch.keep(probe.join(lists, "key").filter(F.col("a1").isNull() | once), "found")
+    # its lines share a segment and often nothing else: pairs whose 3-grams differ too much never leave the join
+    probes = scratch.keep(found.filter("a1 is null").select("key", "pos", "b1").distinct(), "hot-probes")
+    lists = scratch.keep(index.join(few, "key", "left_semi"), "hot-lists")
+    needed = scratch.keep(probes.select(F.col("b1").alias("h1")).union(lists.select("a1")).distinct(), "hot-lines")
+    bits = lines.select("h1", "line").join(checked_broadcast(needed, needed.count()), "h1", "left_semi").groupBy("h1").agg(F.min("line").alias("line"))
+    bits = scratch.keep(bits.select("h1", gram_bits(F.col("line")).alias("bits")), "hot-bits")
+    left = probes.join(bits.select(F.col("h1").alias("b1"), F.col("bits").alias("b_bits")), "b1")
+    right = lists.join(bits.select(F.col("h1").alias("a1"), F.col("bits").alias("a_bits")), "a1").withColumnRenamed("key", "list")
+    apart = sum((F.bit_count(F.col(f"a_bits.w{k}").bitwiseXOR(F.col(f"b_bits.w{k}"))) for k in range(4)), F.lit(0))
+    met = found.filter("a1 is not null").select("a1", "b1").unionAll(left.join(right, (F.col("key") == F.col("list")) & once & (apart <= 6 * edits)).select("a1", "b1"))
     met = scratch.keep(met.select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct(), "met")
     wanted = scratch.keep(met.select(F.col("a1").alias("h1")).union(met.select("b1")).distinct(), "wanted")
     texts = lines_of(docs, min_chars).select("h1", "h2", "line").join(checked_broadcast(wanted, wanted.count()), "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
@@ -108,6 +144,7 @@ def near_line_pairs(docs: DataFrame, scratch: Scratch, edits: int = 2, min_chars
     a, b = (texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line")) for x in "ab")
     # lines that share a first hash have texts of their own here, and these decide
     pairs = met.join(a, "a1").join(b, "b1").filter(F.abs(F.length("a_line") - F.length("b_line")) <= edits)
+    pairs = pairs.filter(pieces_found(F.col("a_line"), F.col("b_line"), edits) >= edits + 4)
     return scratch.keep(pairs.filter(within(F.col("a_line"), F.col("b_line"), edits)).select("a1", "a2", "b1", "b2"), "near")
 
 
