@@ -50,10 +50,23 @@ def calibrate(vectors: int, cosine: float, recall: float, cell_size: int = 48, r
     return Lists(lists, signs, reach * math.sqrt(2 - 2 * cosine), 2)
 
 
+def merged(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``group`` (for each place the first place of its group) after all pairs ``a, b`` have been joined."""
+    group = group.copy()
+    while len(a):
+        x, y = group[a], group[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(group, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(group, above := group[group]):
+            group = above
+    return group
+
+
 def links_of_cells(rows: DataFrame, lists: Lists, cosine: float) -> DataFrame:
     """``rows(list, cell, half, side, id, size, vector)`` sorted by ``list, cell, half`` within partitions ->
-    ``(id, root, links)``: for each vector and cell, a linked vector to merge with (or itself) and the weight of its links
-    that no earlier list has found."""
+    ``(id, root, links)``: for each vector and cell, the smallest id that the cell's links reach from it, and the weight of its
+    links; both of the links that no earlier list has found."""
 
     def block(ids: np.ndarray, sizes: np.ndarray, sides: np.ndarray, x: np.ndarray, which: int, cross: bool) -> tuple[np.ndarray, np.ndarray]:
         norm = np.sqrt((x * x).sum(1))
@@ -63,7 +76,7 @@ def links_of_cells(rows: DataFrame, lists: Lists, cosine: float) -> DataFrame:
         ids, sizes, sides, unit, cells, places, x, norm = (v[order] for v in (ids, sizes, sides, unit, cells, places, x, norm))
         at = places[:, which]
         ends = np.searchsorted(at, at + lists.width, side="right")
-        links, root = np.zeros(len(ids), dtype=np.int64), ids.copy()
+        links, group = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
         step = max(1, 200_000 // max(1, len(ids)))
         for lo in range(0, len(ids), step):
             hi = min(len(ids), lo + step)
@@ -80,9 +93,10 @@ def links_of_cells(rows: DataFrame, lists: Lists, cosine: float) -> DataFrame:
             a, b = a[near], b[near]
             np.add.at(links, a, sizes[b])
             np.add.at(links, b, sizes[a])
-            np.minimum.at(root, a, ids[b])
-            np.minimum.at(root, b, ids[a])
-        return np.stack([ids, root, links])
+            group = merged(group, a, b)
+        root = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(root, group, ids)
+        return np.stack([ids, root[group], links])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []

@@ -76,6 +76,30 @@ def test_large_groups_of_copies_and_near_copies_lose_no_link(spark):
     assert all(r["n_links"] == 799 and r["component_id"] == 0 for r in out if r["vec_id"] < 800)  # the group is whole; only borderline pairs may be missed
 
 
+def test_a_star_around_the_largest_id_is_one_component(spark):
+    turn = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in found(spark, [(1, turn(15)), (2, turn(-15)), (5, turn(0))])}
+    assert out == {1: (1, 1, True), 2: (1, 1, False), 5: (2, 1, False)}
+
+
+def test_components_are_those_of_the_links_found(spark):
+    # in stars of leaves at right angles around a centre a leaf links with its centre alone, so its count tells the links found
+    rng = np.random.default_rng(4)
+    rows, stars, at = [], [], 0
+    for _ in range(60):
+        axes = np.linalg.qr(rng.standard_normal((32, 6)))[0].T
+        leaves = [np.cos(np.radians(15)) * axes[0] + np.sin(np.radians(15)) * x for x in axes[1:]]
+        stars.append((range(at, at + 5), at + 5))
+        rows += [(at + k, v.astype(np.float32).tolist()) for k, v in enumerate([*leaves, axes[0]])]
+        at += 6
+    out = {r["vec_id"]: r for r in found(spark, rows)}
+    assert max(brute(rows)[0].values()) == 5
+    for leaves, centre in stars:
+        near = [k for k in leaves if out[k]["n_links"]]
+        assert out[centre]["n_links"] == len(near)
+        assert {k: out[k]["component_id"] for k in [*leaves, centre]} == {k: min(near) if k in near or (k == centre and near) else k for k in [*leaves, centre]}
+
+
 def test_unusable_vectors_link_with_nothing(spark):
     good = [1.0, 2.0, 3.0]
     rows = [(1, good), (2, good), (3, None), (4, [0.0, 0.0, 0.0]), (5, [1.0, None, 3.0]), (6, [1.0, float("nan"), 3.0]), (7, [float("inf"), 2.0, 3.0]), (8, []), (9, [2.0, 4.0, 6.0]), (10, [-1.0, -2.0, -3.0]), (None, good), (2, good)]
