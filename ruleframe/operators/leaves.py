@@ -5,6 +5,8 @@ An incident is ``(rule_id, uri, line_no, variables)``; ``line_no`` counts from 1
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,23 @@ def needs_whole_text(pattern: str) -> bool:
     return any(x in pattern for x in ("\\n", "\\r", "(?s)", "(?m)", "\\s", "[^>", "[^<"))
 
 
+def file_filter(patterns: list[str]) -> Column:
+    """True for every file that may hold a match. Only a lone pattern is tested on the whole text first: one that is matched there
+    in any case, or one whose matches in a line do not hang on what is around them (anchors, looking ahead or behind)."""
+    if len(patterns) != 1:
+        return F.lit(True)
+    if needs_whole_text(patterns[0]):
+        return F.col("content").rlike(in_text(patterns[0]))
+    if re.search(r"[\^$]|\\[AzZGbB]|\(\?<?[=!]", patterns[0]):
+        return F.lit(True)
+    return F.col("content").rlike(T.java(patterns[0]))
+
+
+def in_text(pattern: str) -> str:
+    """``pattern`` for whole texts: ``^`` and ``$`` stand at line feeds too."""
+    return "(?dm)" + pattern.replace("(?P<", "(?<")
+
+
 def matches_in_lines(content: Column, patterns: dict[str, str]) -> Column:
     """An array of (rule_id, line_no, match) for all rules, built in one pass over a file's lines."""
     parts = F.split(content, "\n", -1)
@@ -47,7 +66,7 @@ def matches_in_lines(content: Column, patterns: dict[str, str]) -> Column:
 
 def matches_in_text(content: Column, rule: str, pattern: str) -> Column:
     """As ``matches_in_lines`` over the whole text; a match's line is that of its first character."""
-    p = F.lit("(?dm)" + pattern.replace("(?P<", "(?<"))
+    p = F.lit(in_text(pattern))
     found = F.regexp_extract_all(content, p, 0)
     # the text before the k-th match is the first k + 1 pieces between matches and the k matches among them
     between = F.split(content, p, -1)
@@ -65,16 +84,15 @@ def matches_of_literal(content: Column, rule: str, literal: str) -> Column:
 
 
 def filecontent(files: DataFrame, patterns: dict[str, str], file_pattern: str | None = None) -> DataFrame:
-    """Matches of every pattern in one scan of the files; variable ``matchingText``. Files that no pattern meets are dropped
-    before lines are cut."""
+    """Matches of every pattern in one scan of the files; variable ``matchingText``. Files that a lone pattern cannot
+    meet are dropped before lines are cut."""
     if file_pattern:
         files = files.filter(T.path_matches(F.col("path"), file_pattern))
     by_line = {r: p for r, p in patterns.items() if not needs_whole_text(p)}
     whole = {r: p for r, p in patterns.items() if needs_whole_text(p)}
-    any_of = lambda ps: F.col("content").rlike("|".join(f"(?:{T.java(p)})" for p in ps)) if len(ps) == 1 else F.lit(True)
     found = [matches_in_lines(F.col("content"), by_line)] if by_line else []
     found += [matches_in_text(F.col("content"), r, p) for r, p in whole.items()]
-    hits = files.filter(any_of(list(patterns.values()))).select("path", F.explode(F.concat(*found)).alias("m"))
+    hits = files.filter(file_filter(list(patterns.values()))).select("path", F.explode(F.concat(*found)).alias("m"))
     return incidents(hits, F.col("m.rule_id"), "path", F.col("m.line_no"), F.create_map(F.lit("matchingText"), F.col("m.match")))
 
 

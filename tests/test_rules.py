@@ -2,6 +2,7 @@ import pytest
 import yaml
 
 from ruleframe import sinks
+from ruleframe.operators import leaves
 from ruleframe.plans import rules as R
 from ruleframe.plans.engine import Analyzer
 
@@ -118,3 +119,11 @@ def test_custom_variables_snippets_and_report(files, tmp_path):
 def test_capability_schema():
     schema = sinks.capability_schema({"builtin.file": {"pattern": "string"}})["components"]["schemas"]
     assert {"builtin.file", "and", "or", "rule"} <= {*schema}
+
+
+@pytest.mark.parametrize("pattern,lines", [("^import x", [2]), ("old$", [1, 3]), (r"\Aimport", [2]), (r"old(?!\W)", [1, 3]), ("^$", [4]), ("^import\\s+x", [2]), (r"old\s*$", [1, 3])])
+def test_a_pattern_finds_the_same_alone_and_beside_another(spark, pattern, lines):
+    content = spark.createDataFrame([("a", "is old\nimport x\nvery old\n"), ("b", "see import")], "path string, content string")
+    for patterns in ({"r": pattern}, {"r": pattern, "other": "zzz"}):
+        found = [(r["uri"], r["line_no"]) for r in leaves.filecontent(content, patterns).collect()]
+        assert sorted({n for u, n in found if u == "a"}) == lines and not any(u == "b" for u, _ in found)
