@@ -14,15 +14,16 @@ def distinct_dependencies(deps: DataFrame) -> DataFrame:
 
 
 def flatten(spark, edges: DataFrame, roots: DataFrame, most_depth: int = 100) -> DataFrame:
-    """``(root, node, depth)`` of all paths down a dependency graph; a node is listed once for each path, up to ``most_depth``."""
+    """``(root, node, depth)`` of all paths down a dependency graph; a node is listed once for each path. A path of more than
+    ``most_depth`` steps, as in a graph with a cycle, is an error."""
     edges.createOrReplaceTempView("__edges")
     roots.createOrReplaceTempView("__roots")
     return spark.sql(f"""
-        WITH RECURSIVE walk(root, node, depth) AS (
+        WITH RECURSIVE walk(root, node, depth) MAX RECURSION LEVEL {most_depth + 3} AS (
           SELECT node, node, 0 FROM __roots
           UNION ALL
-          SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN __edges e ON e.parent = w.node WHERE w.depth < {most_depth}
-        ) SELECT root, node, depth FROM walk""")
+          SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN __edges e ON e.parent = w.node WHERE w.depth <= {most_depth}
+        ) SELECT root, node, depth FROM walk WHERE IF(depth > {most_depth}, raise_error('a path is longer than {most_depth} steps'), true)""")
 
 
 def two_levels(edges: DataFrame, root: str) -> DataFrame:
@@ -41,12 +42,12 @@ def labelled(deps: DataFrame, patterns: dict[str, str], open_source: str = "open
     return deps.withColumn("labels", F.array_sort(F.when(F.array_contains(hits, open_source), hits).otherwise(F.array_append(hits, internal))))
 
 
-def of_selected(found: DataFrame, selected: DataFrame, depth: int = 12) -> DataFrame:
+def of_selected(found: DataFrame, selected: DataFrame) -> DataFrame:
     """Incidents in dependency files pass only if a selected dependency's ``prefix`` begins their URI; others always pass.
 
     Prefixes end on a path boundary, so the join is by hash on the URI's own leading paths and needs no nested loop."""
     parts = F.split("uri", "/")
-    leads = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    leads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     marked = found.withColumn("__id", F.xxhash64("rule_id", "uri", "line_no", F.to_json("variables")))
     hit = marked.filter("is_dep").select("__id", F.explode(leads).alias("prefix")).join(selected.select(F.rtrim(F.col("prefix"), F.lit("/")).alias("prefix")).distinct(), "prefix", "left_semi")
     kept = marked.filter("is_dep").join(hit.select("__id").distinct(), "__id", "left_semi")

@@ -2,10 +2,12 @@ import io
 import json
 import zipfile
 
+import pytest
 import yaml
 from pyspark.sql import functions as F
 
 from ruleframe import cli, sinks
+from ruleframe.operators import dependencies as D
 from ruleframe.operators import leaves
 from ruleframe.sources import archives, dependencies, files
 from ruleframe.sources.symbols import language_of, symbols
@@ -84,6 +86,22 @@ def test_changes_are_searched_again(spark, tmp_path):
         assert {(r["uri"], r["line_no"]) for r in spark.read.parquet(str(store / str(n))).collect()} == want
 
 
+def test_deep_dependency_files_meet_their_prefix(spark):
+    jar = "file:///home/u/.m2/repository/org/apache/logging/log4j/log4j-core/2.17.1"
+    rows = [("r", f"{jar}/a/B.class", 1, {}, True), ("r", "file:///home/u/.m2/repository/org/apache/logging/log4j/log4j-core/2.17.0/a/B.class", 1, {}, True), ("r", "src/C.java", 1, {}, False)]
+    found = spark.createDataFrame(rows, "rule_id string, uri string, line_no int, variables map<string,string>, is_dep boolean")
+    kept = D.of_selected(found, spark.createDataFrame([(jar,)], "prefix string")).collect()
+    assert {r["uri"] for r in kept} == {rows[0][1], "src/C.java"}
+
+
+def test_flatten_lists_the_whole_graph_or_fails(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(6)], "parent string, child string")
+    root = spark.createDataFrame([("n0",)], "node string")
+    assert {(r["node"], r["depth"]) for r in D.flatten(spark, chain, root, 6).collect()} == {(f"n{k}", k) for k in range(7)}
+    with pytest.raises(Exception, match="longer than 5 steps"):
+        D.flatten(spark, chain, root, 5).count()
+
+
 def test_throttled_stream_as_in_batch(spark, tmp_path):
     rows = [("k", f"2024-01-01 00:00:0{s}.{ms:03d}", c, 9) for s, ms, c in [(0, 0, 1), (0, 200, 2), (0, 499, 3), (0, 500, 4), (1, 100, 5), (1, 200, 9), (1, 300, 6)]]
     schema = "key string, ts timestamp, current long, total long"
