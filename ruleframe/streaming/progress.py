@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,15 +18,23 @@ def percent(current: Column, total: Column) -> Column:
 def throttled(events: DataFrame, every_ms: int = 500) -> DataFrame:
     """``events(key, ts, current, total)`` in batch: per key the first, the last of a count, and one at most every ``every_ms``.
 
-    The state is the time last let through, folded over a key's events in time order."""
-    ordered = events.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ts", "current", "total"))).alias("e"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<struct<ts:timestamp,current:bigint,total:bigint>>").alias("out"))
+    The state is the time last let through; a key's events stream past it in time order, so memory does not grow with them."""
+    rows = events.select("key", "ts", "current", "total")
 
-    def step(s: Column, e: Column) -> Column:
-        passes = s["last"].isNull() | (e["current"] == e["total"]) | (F.unix_micros(e["ts"]) - F.unix_micros(s["last"]) >= every_ms * 1000)
-        return F.struct(F.when(passes, e["ts"]).otherwise(s["last"]).alias("last"), F.when(passes, F.array_append(s["out"], e)).otherwise(s["out"]).alias("out"))
-
-    return ordered.select("key", F.explode(F.aggregate("e", start, step)["out"]).alias("e")).select("key", "e.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, at, last = False, None, None
+        for batch in batches:
+            keep = []
+            columns = [batch.column(0), batch.column(1).cast(pa.int64()), batch.column(2), batch.column(3)]  # microseconds
+            for key, now, current, total in zip(*(c.to_pylist() for c in columns), strict=True):
+                if not begun or key != at:
+                    begun, at, last = True, key, None
+                passes = last is None or (current is not None and current == total) or (now is not None and now - last >= every_ms * 1000)
+                last = now if passes else last
+                keep.append(passes)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "current", "total").mapInArrow(run, rows.schema)
 
 
 def throttle_stream(events: DataFrame, every_ms: int = 500) -> DataFrame:

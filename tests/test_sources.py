@@ -1,5 +1,7 @@
+import datetime
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -102,6 +104,21 @@ def test_flatten_lists_the_whole_graph_or_fails(spark):
         D.flatten(spark, chain, root, 5).count()
 
 
+def test_throttling_holds_no_group_in_memory(spark):
+    # the plan has no list of a key's events; the rows are those of a loop over each key's events in time order
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "c", None]), datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=rng.randrange(60_000)), rng.randrange(10), 9) for _ in range(3000)]
+    rows += [("hot", datetime.datetime(2024, 1, 1) + datetime.timedelta(milliseconds=k * 7), k % 8, 9) for k in range(25_000)]
+    out = progress.throttled(spark.createDataFrame(rows, "key string, ts timestamp, current long, total long").repartition(5))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    wanted, last = [], {}
+    for key, ts, current, total in sorted(rows, key=lambda r: (str(r[0]), *r[1:])):
+        if key not in last or current == total or ts - last[key] >= datetime.timedelta(milliseconds=500):
+            last[key] = ts
+            wanted.append((key, ts, current, total))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(wanted, key=repr)
+
+
 def test_throttled_stream_as_in_batch(spark, tmp_path):
     rows = [("k", f"2024-01-01 00:00:0{s}.{ms:03d}", c, 9) for s, ms, c in [(0, 0, 1), (0, 200, 2), (0, 499, 3), (0, 500, 4), (1, 100, 5), (1, 200, 9), (1, 300, 6)]]
     schema = "key string, ts timestamp, current long, total long"
