@@ -2,8 +2,8 @@
 
 For every language a context tree over bytes of depth ``order`` is counted, and frozen: each context gives the bytes seen after
 it count / (total + distinct), and escapes to the next shorter context with distinct / (total + distinct), down to a uniform
-choice. The tree of each language is then flattened into a table of exact code lengths, so a text's code length under a
-language is a sum of look-ups over all its bytes. The language with the shortest code wins.
+choice. What a language has seen is held as sorted lists of code lengths and of costs of escape, so a text's code length under
+a language is an exact sum of look-ups over all its bytes. The language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -15,16 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes, after lower-casing A-Z, that have symbols of their own; all others share one symbol, coded alike in every language.
-SYMBOLS = 48
-
-
-def symbol_map(counts: np.ndarray) -> np.ndarray:
-    """The most frequent bytes get 1..SYMBOLS-1 (ties by byte), the rest 0."""
-    out = np.zeros(256, dtype=np.int64)
-    top = np.argsort(-counts, kind="stable")[: SYMBOLS - 1]
-    out[top[counts[top] > 0]] = np.arange(1, int((counts[top] > 0).sum()) + 1)
-    return out
+#: All byte values are symbols of their own.
+SYMBOLS = 256
+#: Symbol 0 stands before a text; a byte of 0 takes the place of an A, which lower-casing leaves unused.
+PLACES = np.where(np.arange(SYMBOLS) == 0, ord("A"), np.arange(SYMBOLS))
+#: The longest code of a byte.
+LONGEST = -np.log(1e-12)
+#: Code lengths of grams already met that a task holds, at most.
+MET = 16_000_000
 
 
 def grams(symbols: np.ndarray, order: int) -> np.ndarray:
@@ -36,46 +34,94 @@ def grams(symbols: np.ndarray, order: int) -> np.ndarray:
     return code
 
 
-def code_lengths(counts: np.ndarray, order: int) -> np.ndarray:
-    """``counts`` of (order + 1)-grams of one language -> nats for each of them under the frozen tree."""
-    c = counts.reshape((SYMBOLS,) * (order + 1)).astype(np.float64)
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for k in range(order + 1):
-        own = c.sum(axis=tuple(range(order - k))) if k < order else c
-        total, distinct = own.sum(-1, keepdims=True), (own > 0).sum(-1, keepdims=True)
-        seen = own > 0
-        # what the shorter context says, without the bytes that the longer one has seen
-        rest = np.where(seen, 0.0, p)
-        left = rest.sum(-1, keepdims=True)
-        escape = np.where(distinct == SYMBOLS, 0.0, distinct)
-        below = np.where(left > 0, rest / np.where(left > 0, left, 1), 0)
-        p = np.where(total > 0, (own + escape * below) / np.maximum(total + escape, 1), np.broadcast_to(p, own.shape))
-    return -np.log(np.maximum(p, 1e-12)).ravel()
-
-
-def count_bytes(rows: DataFrame, text: str = "text") -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x.encode().lower(), dtype=np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
+class Listed:
+    """Values by (code, language), of the pairs that occur."""
+
+    def __init__(self, codes: np.ndarray, langs: np.ndarray, values: np.ndarray):
+        """The pairs are distinct and sorted."""
+        self.codes, starts = np.unique(codes, return_index=True)
+        self.starts, self.langs, self.values = np.append(starts, len(codes)), langs.astype(np.int32), values.astype(np.float32)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among ``codes``, language, value) of all their pairs."""
+        at = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
+        rows = np.flatnonzero(self.codes[at] == codes) if len(self.codes) else np.zeros(0, dtype=np.int64)
+        lo = self.starts[at[rows]]
+        n = self.starts[at[rows] + 1] - lo if len(rows) else lo
+        entries = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.repeat(rows, n), self.langs[entries], self.values[entries]
+
+
+class CodeLengths:
+    """The frozen trees of all languages; ``[codes]`` gives nats, (grams, languages)."""
+
+    def __init__(self, codes: np.ndarray, langs: np.ndarray, counts: np.ndarray, languages: int, order: int):
+        """``counts`` of (order + 1)-grams by code and language."""
+        self.languages, self.levels, below = languages, [], None
+        for k in range(order + 1):
+            pairs, at = np.unique(codes % SYMBOLS ** (k + 1) * languages + langs, return_inverse=True)
+            n, code, lang = np.bincount(at, weights=counts, minlength=len(pairs)), pairs // languages, pairs % languages
+            contexts, at = np.unique(code // SYMBOLS * languages + lang, return_inverse=True)
+            total, distinct = np.bincount(at, weights=n, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
+            escape = np.where(distinct == SYMBOLS, 0, distinct)
+            # what the shorter context says, without the bytes that the longer one has seen; what a gram ends in was seen as well
+            shorter = np.full(len(pairs), 1 / SYMBOLS) if below is None else below[1][np.searchsorted(below[0], code % SYMBOLS**k * languages + lang)]
+            left = 1 - np.bincount(at, weights=shorter, minlength=len(contexts))
+            p = n / (total + escape)[at]
+            step = escape / (total + escape) / np.maximum(left, 1e-15)
+            self.levels.append((Listed(contexts // languages, contexts % languages, -np.log(np.maximum(step, 1e-300))), Listed(code, lang, -np.log(p))))
+            below = pairs, p
+
+    def __getitem__(self, key) -> np.ndarray:
+        if isinstance(key, tuple):
+            return self[key[0]][:, key[1]]
+        out = np.full((len(key), self.languages), np.log(SYMBOLS), dtype=np.float32)
+        for k, (escapes, seen) in enumerate(self.levels):
+            code = key % SYMBOLS ** (k + 1)
+            row, lang, nats = escapes.find(code // SYMBOLS)
+            out[row, lang] += nats
+            row, lang, nats = seen.find(code)
+            out[row, lang] = nats
+        return np.minimum(out, np.float32(LONGEST))
+
+    def reader(self, order: int):
+        """``[codes]`` for many texts: what has been looked up is held."""
+        cells = SYMBOLS ** (order + 1)
+        if cells > 1 << 24:
+            return self.__getitem__
+        place, held = np.full(cells, -1, dtype=np.int32), [np.zeros((0, self.languages), dtype=np.float32), 0]
+
+        def read(codes: np.ndarray) -> np.ndarray:
+            at = place[codes]
+            if (at < 0).any():
+                new = np.unique(codes[at < 0])
+                if (held[1] + len(new)) * self.languages > MET:
+                    place.fill(-1)
+                    held[1], new = 0, np.unique(codes)
+                rows, n = held[0], held[1] + len(new)
+                if n > len(rows):
+                    held[0] = np.empty((max(n, len(rows) * 3 // 2), self.languages), dtype=np.float32)
+                    held[0][: held[1]] = rows[: held[1]]
+                held[0][held[1] : n] = self[new]
+                place[new] = np.arange(held[1], n)
+                held[1], at = n, place[codes]
+            return held[0][at]
+
+        return read
 
-    out = np.zeros(256, dtype=np.int64)
-    for r in rows.select(text).mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
-        out[r["byte"]] = r["n"]
-    return out
+
+def code_lengths(counts: np.ndarray, order: int) -> np.ndarray:
+    """``counts`` of all (order + 1)-grams of one language -> nats for each of them under the frozen tree."""
+    codes = np.flatnonzero(counts)
+    return CodeLengths(codes, np.zeros(len(codes), dtype=np.int64), counts[codes], 1, order)[np.arange(len(counts))].ravel()
 
 
-def fit(rows: DataFrame, order: int = 2, most_languages: int = 64) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """``rows(text, lang)`` without nulls -> languages in order, symbol map, table (grams, languages) of code lengths.
+def fit(rows: DataFrame, order: int = 2) -> tuple[list[str], np.ndarray, CodeLengths]:
+    """``rows(text, lang)`` without nulls -> all languages in order, symbols of the bytes, code lengths by gram and language.
 
-    All rows count. What reaches the driver is one count per gram and language, at most SYMBOLS ** (order + 1) each."""
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    langs = sorted(langs)
-    if not langs:
-        return [], np.zeros(256, dtype=np.int64), np.zeros((0, 0), dtype=np.float32)
-    symbols, place, cells = symbol_map(count_bytes(rows)), {x: k for k, x in enumerate(langs)}, SYMBOLS ** (order + 1)
+    All rows count. What reaches the driver is one count per language and gram that occurs in it."""
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    symbols, place = PLACES, {x: k for k, x in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
@@ -91,30 +137,30 @@ def fit(rows: DataFrame, order: int = 2, most_languages: int = 64) -> tuple[list
 
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang in place and text:
-                    found.setdefault(place[lang], []).append(grams(symbols[np.frombuffer(text.encode().lower(), dtype=np.uint8)], order).astype(np.int32))
-                    held += len(text)
-            if held > 16_000_000:
-                yield drain()
-                held = 0
+                if text:
+                    codes = grams(symbols[np.frombuffer(text.encode().lower(), dtype=np.uint8)], order)
+                    found.setdefault(place[lang], []).append(codes.astype(np.int32) if order < 3 else codes)
+                    held += len(codes)
+                if held > 16_000_000:
+                    yield drain()
+                    held = 0
         if found:
             yield drain()
 
     counts = rows.select("text", "lang").mapInArrow(run, "lang long, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    table = np.zeros((len(langs), cells))
     pdf = counts.toPandas()
-    table[pdf["lang"].to_numpy(), pdf["code"].to_numpy()] = pdf["n"]
-    return langs, symbols, np.ascontiguousarray(np.stack([code_lengths(t, order) for t in table], axis=1).astype(np.float32))
+    return langs, symbols, CodeLengths(*(pdf[x].to_numpy(dtype=np.int64) for x in ("code", "lang", "n")), max(len(langs), 1), order)
 
 
-def predict(docs: DataFrame, langs: list[str], symbols: np.ndarray, table: np.ndarray, order: int = 2) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], symbols: np.ndarray, table: CodeLengths, order: int = 2) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to ``docs``, from column ``text`` alone."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((symbols, table))  # SYMBOLS ** (order + 1) * languages * 4 bytes
+    model = spark.sparkContext.broadcast((symbols, table))  # 8 bytes for each language and gram that occurs in it, and 16 for each gram
     from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, table = model.value
+        read, stretch = table.reader(order), max(1 << 12, (1 << 22) // max(len(langs), 1))
         for batch in batches:
             preds, scores = [], []
             letters = batch.column(batch.num_columns - 1).to_pylist()
@@ -124,9 +170,9 @@ def predict(docs: DataFrame, langs: list[str], symbols: np.ndarray, table: np.nd
                     scores.append(0.0)
                     continue
                 raw, total = symbols[np.frombuffer(text.encode().lower(), dtype=np.uint8)], np.zeros(len(langs))
-                for lo in range(0, len(raw), 1 << 20):  # a long text in stretches, each with the bytes before it
-                    codes = grams(raw[max(0, lo - order) : lo + (1 << 20)], order)[min(lo, order) :]
-                    total += table[codes].sum(0, dtype=np.float64)
+                for lo in range(0, len(raw), stretch):  # a long text in stretches, each with the bytes before it
+                    codes = grams(raw[max(0, lo - order) : lo + stretch], order)[min(lo, order) :]
+                    total += read(codes).sum(0, dtype=np.float64)
                 best = int(np.argmin(total))
                 preds.append(langs[best])
                 scores.append(float(1 / np.exp(np.maximum(total[best] - total, -700)).sum()))

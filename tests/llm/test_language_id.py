@@ -114,3 +114,18 @@ def test_stage_keeps_clean_documents(spark):
     out = language_id.language_stage(spark, docs, "")
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in out.collect()} == set(range(120))
+
+
+def test_more_than_64_languages_and_rare_scripts(spark):
+    rng = random.Random(6)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)] for k in range(70)}
+    text = lambda x, n=12: " ".join(rng.choice(words[x]) for _ in range(n))
+    rows = [(k, text(x, 30), x, "s") for k, x in enumerate([*words] * 4)]
+    # two scripts of few documents, whose bytes are rare among all
+    words["el"], words["ru"] = "και το να με για".split(), "и в не на что".split()
+    rows += [(1000 + k, text(x, 5), x, "s") for k, x in enumerate(["el", "ru"] * 2)]
+    langs, symbols, table = language_id.fit(frame(spark, rows).select("text", "lang"))
+    assert langs == sorted(words)
+    asked = [(k, text(x), x, "s") for k, x in enumerate(words)]
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(frame(spark, asked).select("doc_id", "text"), langs, symbols, table).collect()}
+    assert out == {k: x for k, _, x, _ in asked}
