@@ -9,17 +9,19 @@ published twice.
 
 from __future__ import annotations
 
+import hashlib
 import html
+import itertools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import Scratch, checked_broadcast
+from ruleframe.llm.common import Scratch
 
 # Element names of the HTML standard.
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "button")
@@ -35,6 +37,8 @@ NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PART = re.compile(r"[^a-z0-9]+")
 CLOSES = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW}
+ADDRESS = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$")
+KEY = ["host", "path", "url", "page_id", "hash"]
 
 
 def marked(attributes: str) -> bool:
@@ -125,48 +129,144 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     return keep
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` -> ``(page_id, url, host, path, lines, main)``."""
+def place_of(url: str | None) -> tuple[str, str]:
+    """Host and path."""
+    host, slash, path = ADDRESS.sub("", url or "").partition("/")
+    return host.lower(), slash + path
+
+
+def in_order(host: str, path: str, url: str | None, page_id, lines_hash: bytes) -> tuple:
+    return host, path, url is not None, url or "", page_id is not None, 0 if page_id is None else page_id, lines_hash
+
+
+def parsed(batch: pa.RecordBatch) -> Iterator[tuple[tuple, list[str], list[bool]]]:
+    """``batch(page_id, url, html)`` -> for each page its place in the order, its lines, and whether each is in a main region."""
+    for page_id, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        found = page_lines(source or "")
+        lines = [x for x, _ in found]
+        digest = hashlib.blake2b("\n".join(lines).encode("utf-8", "replace"), digest_size=16).digest()
+        yield (*place_of(url), url, page_id, digest), lines, [x for _, x in found]
+
+
+def places(pages: DataFrame) -> DataFrame:
+    """``(host, path, url, page_id, hash)`` of every page; ``hash`` is that of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [page_lines(x or "") for x in batch.column(2).to_pylist()]
-            lines, main = ([[x[k] for x in p] for p in parsed] for k in range(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(main, pa.list_(pa.bool_()))], names=["page_id", "url", "lines", "main"])
-
-    out = pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, lines array<string>, main array<boolean>")
-    address = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
-    return out.withColumn("host", F.lower(F.substring_index(address, "/", 1))).withColumn("path", F.regexp_replace(address, "^[^/]*", ""))
-
-
-def difference(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The pages of one group in path order -> ``(page_id, url, text)``; a page is compared with both neighbours."""
-    pdf = pdf.sort_values(["path", "url", "page_id"], ignore_index=True)
-    lines, mains = [list(x) for x in pdf["lines"]], [list(x) for x in pdf["main"]]
-    texts = []
-    for k, (own, main) in enumerate(zip(lines, mains, strict=True)):
-        site = [False] * len(own)
-        for other in (k - 1, k + 1):
-            if 0 <= other < len(lines) and lines[other] != own:  # a page of the same lines shows nothing about the site
-                site = [x or y for x, y in zip(site, shared_lines(own, lines[other]), strict=True)]
-        declared = any(main)
-        texts.append(" ".join(x for x, m, s in zip(own, main, site, strict=True) if (m if declared else not s)))
-    return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
+            rows = [key for key, _, _ in parsed(batch)]
+            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), batch.column(1), batch.column(0), pa.array([r[4] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "url", "page_id", "hash"])
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"host string, path string, url string, page_id {dict(pages.dtypes)['page_id']}, hash binary")
+
+
+def ends_of_ranges(keys: DataFrame, cuts) -> list[tuple[int, list[tuple]]]:
+    """For each range its first page, the next of that host with other lines (or None), the same from its end, and whether it
+    holds one host only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = [bisect_right(cuts.value, in_order(*key)) for key in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=[*batch.schema.names, "part"])
+
+    def ends(pdf: pa.Table) -> pa.Table:
+        rows = sorted(((*key, k) for k, key in enumerate(zip(*(pdf.column(c).to_pylist() for c in KEY), strict=True))), key=lambda r: in_order(*r[:5]))
+        take, whole = [], rows[0][0] == rows[-1][0]
+        for side in (rows, rows[::-1]):
+            first = side[0]
+            other = next((r for r in itertools.takewhile(lambda r: r[0] == first[0], side) if r[4] != first[4]), None)
+            take += [first[5], None if other is None else other[5]]
+        out = pdf.select(KEY).take(pa.array(take, pa.int64()))
+        flags = [pa.array([pdf.column("part")[0].as_py()] * 4, pa.int32()), pa.array(range(4), pa.int32()), pa.array([whole] * 4), pa.array([x is not None for x in take])]
+        return pa.table([*flags, *out.columns], names=["part", "which", "whole", "there", *KEY])
+
+    kinds = dict(keys.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in KEY)
+    dealt = keys.select(*KEY).mapInArrow(run, f"{schema}, part int")
+    found = {}
+    for r in dealt.groupBy("part").applyInArrow(ends, f"part int, which int, whole boolean, there boolean, {schema}").collect():  # four rows a range
+        found.setdefault(r["part"], [None] * 4 + [r["whole"]])[r["which"]] = (r["host"], r["path"], r["url"], r["page_id"], bytes(r["hash"])) if r["there"] else None
+    return sorted(found.items())
+
+
+def copies_of(ranges: list[tuple[int, list]]) -> dict[tuple, list[int]]:
+    """The pages that a range needs from others: on either side the nearest page of its host, and the nearest with other lines
+    than that. By (url, page_id, hash), the ranges they are copied to."""
+    out: dict[tuple, set[int]] = {}
+    for order, (a, a2, z, z2) in ((ranges, (0, 1, 2, 3)), (ranges[::-1], (2, 3, 0, 1))):
+        near = other = None
+        for part, row in order:
+            for page in (near, other):
+                if page is not None and page[0] == row[a][0]:
+                    out.setdefault(page[2:], set()).add(part)
+            if row[z2] is not None or not row[4] or near is None or near[0] != row[z][0]:
+                other = row[z2]
+            elif near[4] != row[z][4]:
+                other = near
+            near = row[z]
+    return {page: sorted(parts) for page, parts in out.items()}
+
+
+def difference(pdf: pa.Table) -> pa.Table:
+    """The pages of one range and those copied to it -> ``(page_id, url, text)``; a page is compared with the nearest page of its
+    host on either side whose lines are not just its own."""
+    keys = [tuple(r) for r in zip(*(pdf.column(c).to_pylist() for c in KEY), strict=True)]
+    order = sorted(range(len(keys)), key=lambda k: in_order(*keys[k]))
+    lines, mains, copied = (pdf.column(c).to_pylist() for c in ("lines", "main", "copied"))
+    partners: list[list] = [[None, None] for _ in keys]
+    for side, run in enumerate((order, order[::-1])):
+        for last, k in itertools.pairwise(run):
+            if keys[last][0] == keys[k][0]:
+                partners[k][side] = partners[last][side] if keys[last][4] == keys[k][4] else last
+    take, texts, known = [], [], {}
+    for k in order:
+        if copied[k]:
+            continue
+        own, site = lines[k], [False] * len(lines[k])
+        if any(mains[k]):
+            site = [not x for x in mains[k]]
+        else:
+            for other in partners[k]:
+                if other is not None:
+                    pair = keys[k][4], keys[other][4]
+                    if pair not in known:
+                        known[pair] = shared_lines(own, lines[other])
+                    site = [x or y for x, y in zip(site, known[pair], strict=True)]
+        take.append(k)
+        texts.append(" ".join(x for x, s in zip(own, site, strict=True) if not s))
+    out = pdf.select(["page_id", "url"]).take(pa.array(take, pa.int64()))
+    return pa.table([*out.columns, pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame, scratch: Scratch, group_pages: int = 256) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
-    A host's pages are dealt by hash into groups of about ``group_pages``, so a host of any size is spread; inside
-    a group each page is paired with its neighbours in path order. A null or empty page has an empty text; a page with a
-    null URL belongs to the empty host. A page alone in its group, or whose neighbours have just its own lines, loses what
-    it marks itself. Rows that repeat are pages of their own. No rows give no rows; other columns are not read.
+    Pages in the order of host and path are cut into ranges of about ``group_pages``, whatever their host, so a host of any size is
+    spread; the pages next to a range are copied to it, so each page meets its neighbours in path order. A null or empty page
+    has an empty text; a page with a null URL belongs to the empty host. A page alone on its host, or on one where all pages have
+    just its own lines, loses what it marks itself. Rows that repeat are pages of their own. No rows give no rows; other columns are
+    not read.
     """
-    address = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$", "")
-    hosts = scratch.keep(pages.select(F.lower(F.substring_index(address, "/", 1)).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
-    dealt = parse(pages).join(checked_broadcast(hosts, hosts.count()), "host").withColumn("part", F.pmod(F.xxhash64("url", "page_id"), F.ceil(F.col("n") / group_pages)))
+    spark = pages.sparkSession
+    keys = scratch.keep(places(pages), "places")
+    cut = keys.filter(F.pmod(F.xxhash64("url", "page_id"), F.lit(group_pages)) == 0).select(*KEY[:4]).distinct().collect()  # a page in ``group_pages``
+    cuts = spark.sparkContext.broadcast(sorted(in_order(*r, b"") for r in cut))
+    copies = spark.sparkContext.broadcast(copies_of(ends_of_ranges(keys, cuts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, lines, main in parsed(batch):
+                rows.append((*key, lines, main, bisect_right(cuts.value, in_order(*key)), False))
+                rows += [(*key, lines, main, part, True) for part in copies.value.get(key[2:], ())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds(batch))], names=[*KEY, "lines", "main", "part", "copied"])
+
+    def kinds(batch: pa.RecordBatch) -> list[pa.DataType]:
+        return [pa.string(), pa.string(), pa.string(), batch.schema.field(0).type, pa.binary(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.int32(), pa.bool_()]
+
     kind = dict(pages.dtypes)["page_id"]
-    out = dealt.select("page_id", "url", "path", "lines", "main", "host", "part").groupBy("host", "part").applyInPandas(difference, f"page_id {kind}, url string, text string")
+    dealt = pages.select("page_id", "url", "html").mapInArrow(run, f"host string, path string, url string, page_id {kind}, hash binary, lines array<string>, main array<boolean>, part int, copied boolean")
+    out = dealt.groupBy("part").applyInArrow(difference, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

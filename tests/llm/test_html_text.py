@@ -85,6 +85,18 @@ def test_a_host_with_most_pages_is_spread(spark):
     assert all(out[(i, u)]["text"] == f"own {i}" for i, u, _ in rows)
 
 
+def test_pages_of_a_hot_host_meet_their_nearest_different_neighbours(spark):
+    # a line is shared with the next page only, and pages stand in runs of copies, some longer than a range
+    rows, wanted, k = [], {}, 0
+    for section in range(40):
+        for _ in range(40 if section % 7 == 3 else 3):
+            rows.append((k, f"http://hot.example/{section:03d}/{k:05d}", f"<p>pair {section // 2}</p><p>own {section}</p>"))
+            wanted[k] = f"own {section}"
+            k += 1
+    out = found(spark, rows, group_pages=16)
+    assert {i: r["text"] for (i, _), r in out.items()} == wanted
+
+
 def test_awkward_rows(spark):
     rows = [(1, None, "<p>x</p>"), (None, None, None), (2, "", "<p>y</p>"), (3, "no-scheme/path", "<p>z</p>"), (4, "http://h/very", "<p>" + "long " * 200_000 + "</p>"), (5, "http://h/deep", "<div>" * 3000 + "deep" + "</div>" * 3000)]
     out = found(spark, rows + rows[:1])
