@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,13 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables in the folder that the cluster shares (``spark.checkpoint.dir``): they cut lineage and survive lost executors."""
+    """Tables in the folder that the cluster shares (``spark.checkpoint.dir``): they cut lineage and survive lost executors.
+
+    Where that is unset, tables go below the warehouse, which a cluster shares as well; never to a folder of the driver's own."""
 
     def __init__(self, spark: SparkSession, label: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="ruleframe-")
-            spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ruleframe-stages"
         self.spark, self.dir = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -38,12 +37,39 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no later result reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
 
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are few; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on after a task, and the next one may need other tables."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for ``mapInArrow`` whose memory goes back to the system when the task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def worker_cache(name: str, make: Callable[[], object]) -> object:
     """An object that a Python worker makes once and keeps for all its tasks."""
     held = sys.modules.setdefault("ruleframe_worker_cache", types.ModuleType("ruleframe_worker_cache")).__dict__
@@ -61,6 +87,13 @@ def text_slices(texts: pa.Array, most_bytes: int = 8_000_000) -> Iterator[tuple[
         lo = hi
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of ``column`` have up to ``most_bytes`` bytes, or are one longer text."""
+    for batch in batches:
+        for lo, hi in text_slices(batch.column(column), most_bytes):
+            yield batch.slice(lo, hi - lo)
+
+
 def pieces(rows: int, each: int = 20_000, least: int = 64) -> int:
     return max(least, -(-rows // each))
 
