@@ -36,7 +36,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(texts: DataFrame, most: int = 150_000) -> DataFrame:
+def count_words(texts: DataFrame, most: int = 300_000) -> DataFrame:
     """``(word, n)`` over all rows of ``texts(text)``; the end of a text is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,31 +78,39 @@ def buffers(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def neighbours(texts: DataFrame, ids, scratch: Scratch, tokens: int = 2_000_000) -> DataFrame:
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of binary arrays without nulls, and where each row's begin; the end of the last is added."""
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int32)
+    raw = np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return raw.view(kind), (starts - starts[0]) // np.dtype(kind).itemsize
+
+
+def neighbours(texts: DataFrame, ids, scratch: Scratch, tokens: int = 4_000_000) -> DataFrame:
     """``(word, before, n_before, after, n_after)``, one row for each id under ``OTHER``: the ids that stand before and after it
-    (16 bits each) and how often (64 bits). A text stands between two ends. Stored."""
+    (16 bits each) and how often (floats). A text stands between two ends. Stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = ids.value, [], 0
 
-        def side(word: np.ndarray, other: np.ndarray, n: np.ndarray) -> dict[int, tuple[bytes, bytes]]:
-            """By word and part: the other words and their counts; sorted by word."""
-            part = np.where(word < HOT_RANK, other % HOT_PARTS, 0)
-            key = word.astype(np.int64) * HOT_PARTS + part
-            order = np.argsort(key, kind="stable")
-            key, other, n = key[order], other[order].astype("<u2"), n[order].astype("<u4")
-            at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
-            ends = [*at[1:].tolist(), len(key)]
-            return {k: (other[a:b].tobytes(), n[a:b].tobytes()) for k, a, b in zip(key[at].tolist(), at.tolist(), ends, strict=False)}
-
-        def drain() -> pa.RecordBatch:
+        def side(word: np.ndarray, other: np.ndarray, n: np.ndarray, after: bool) -> Iterator[pa.RecordBatch]:
+            """A row for each word, those of hot words in parts."""
+            for hot in (False, True):
+                mask = (word < HOT_RANK) == hot if hot else (word >= HOT_RANK) & (word != OTHER)
+                w, o, k = word[mask], other[mask], n[mask]
+                key = (w * HOT_PARTS + o % HOT_PARTS if hot else w).astype(np.uint16)
+                order = np.argsort(key, kind="stable")  # by radix
+                key, o, k = key[order], o[order].astype("<u2"), k[order].astype("<f4")
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+                first = key[at].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(first // HOT_PARTS if hot else first), pa.array(first % HOT_PARTS if hot else first * 0), pa.array(np.full(len(at), after)), buffers(o, at), buffers(k, at)], names=["word", "part", "after", "other", "n"])
+
+        def drain() -> Iterator[pa.RecordBatch]:
             code, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            a, b = code >> 16, code & 0xFFFF
-            before, after = side(b[b != OTHER], a[b != OTHER], n[b != OTHER]), side(a[a != OTHER], b[a != OTHER], n[a != OTHER])
-            keys, none = sorted({*before, *after}), (b"", b"")
-            rows = [(k // HOT_PARTS, k % HOT_PARTS, *before.get(k, none), *after.get(k, none)) for k in keys]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["word", "part", "before", "n_before", "after", "n_after"])
+            a, b = code >> np.uint32(16), code & np.uint32(0xFFFF)
+            yield from side(b, a, n, False)
+            yield from side(a, b, n, True)
 
         for batch in in_slices(batches):
             for text in batch.column(0).to_pylist():
@@ -110,47 +118,52 @@ def neighbours(texts: DataFrame, ids, scratch: Scratch, tokens: int = 2_000_000)
                 held.append((seq[:-1] << np.uint32(16)) | seq[1:])
                 size += len(seq)
             if size > tokens:
-                yield drain()
+                yield from drain()
                 size = 0
         if held:
-            yield drain()
+            yield from drain()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds up the rows of each (word, part): they come one after another."""
-        sums, key, out = np.zeros((2, OTHER + 1), dtype=np.int64), None, []
-
-        def close() -> None:
-            if key is not None:
-                row = [key[0], key[1]]
-                for s in sums:
-                    at = np.flatnonzero(s)
-                    row += [at.astype("<u2").tobytes(), s[at].astype("<i8").tobytes()]
-                    s[at] = 0
-                out.append(row)
+        """Adds up the rows of each (word, part), which come one after another."""
+        sums, key, out, size = np.zeros((2, OTHER + 1)), None, [], 0
+
+        def close() -> int:
+            row = [key[0]]
+            for s in sums:
+                at = np.flatnonzero(s)
+                row += [at.astype("<u2").tobytes(), s[at].astype("<f4").tobytes()]
+                s[at] = 0
+            out.append(row)
+            return sum(map(len, row[1:]))
 
         def drain() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["word", "part", "before", "n_before", "after", "n_after"])
+            done = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int32(), *[pa.binary()] * 4))], names=["word", "before", "n_before", "after", "n_after"])
             out.clear()
             return done
 
         for batch in batches:
-            for word, part, *lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words, parts, after = (batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("word", "part", "after"))
+            (other, starts), (n, _) = flat(batch.column("other"), "<u2"), flat(batch.column("n"), "<f4")
+            for word, part, side, a, b in zip(words, parts, after, starts.tolist(), starts.tolist()[1:], strict=False):
                 if (word, part) != key:
-                    close()
+                    size += close() if key is not None else 0
                     key = word, part
-                for s, other, n in zip(sums, lists[::2], lists[1::2], strict=True):
-                    s[np.frombuffer(other, dtype="<u2")] += np.frombuffer(n, dtype="<u4" if len(n) == 2 * len(other) else "<i8")
-            if out:
-                yield drain()
-        close()
-        if out:
+                sums[int(side)][other[a:b]] += n[a:b]
+                if size > 4_000_000:
+                    yield drain()
+                    size = 0
+        if key is not None:
+            close()
             yield drain()
 
-    schema = "word int, part int, before binary, n_before binary, after binary, n_after binary"
-    put_together = lambda rows: rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(tidy(merge), schema)
-    parts = scratch.keep(put_together(texts.select("text").mapInArrow(tidy(run), schema)), "neighbours-parts")
-    hot = scratch.keep(put_together(parts.filter(F.col("word") < HOT_RANK).withColumn("part", F.lit(0))), "neighbours-hot")
-    return parts.filter(F.col("word") >= HOT_RANK).unionAll(hot).drop("part")
+    keys, merged = ["word", "part"], "word int, before binary, n_before binary, after binary, n_after binary"
+    put_together = lambda rows: rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(merge), merged)
+    parts = scratch.keep(put_together(texts.select("text").mapInArrow(tidy(run), "word int, part int, after boolean, other binary, n binary")), "neighbours-parts")
+    # the parts of a hot word meet once more: each is of bounded size by now
+    hot = parts.filter(F.col("word") < HOT_RANK).withColumn("part", F.lit(0))
+    sides = [hot.select("word", "part", F.lit(after).alias("after"), F.col(name).alias("other"), F.col(f"n_{name}").alias("n")) for after, name in ((False, "before"), (True, "after"))]
+    hot = scratch.keep(put_together(sides[0].unionAll(sides[1])), "neighbours-hot")
+    return parts.filter(F.col("word") >= HOT_RANK).unionAll(hot)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -258,7 +271,7 @@ class Exchange:
         order = np.lexsort((words, -gain))
         return words[order], to[order]
 
-    def run(self, settled: float = 2e-3) -> np.ndarray:
+    def run(self, settled: float = 0.02) -> np.ndarray:
         """The classes once two rounds together, one of each half, raise the likelihood by less than ``settled`` of its rise so far."""
         of, n = self.of, self.matrix(self.of)
         self.history = [likelihood(n, self.classes)]
@@ -272,7 +285,7 @@ class Exchange:
                 if likelihood(new, self.classes) > self.history[-1]:
                     of, n = trial, new
                     break
-                take //= 2  # moves that were good one by one can be bad together
+                take //= 8  # moves that were good one by one can be bad together
             self.history.append(likelihood(n, self.classes))
             if step % 2 and self.history[-1] - self.history[-3] <= settled * (self.history[-1] - self.history[0]):
                 self.of, self.n = of, n
@@ -287,10 +300,8 @@ class Slice:
 
     def pairs(self, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, other word, count) of every neighbour."""
-        lists, counts = self.batch.column(side), self.batch.column(f"n_{side}")
-        other = np.frombuffer(b"".join(lists.to_pylist()), dtype="<u2")
-        sizes = pc.binary_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-        return np.repeat(np.arange(len(self.words)), sizes), other, np.frombuffer(b"".join(counts.to_pylist()), dtype="<i8")
+        (other, starts), (n, _) = flat(self.batch.column(side), "<u2"), flat(self.batch.column(f"n_{side}"), "<f4")
+        return np.repeat(np.arange(len(self.words)), np.diff(starts)), other, n
 
     def by_class(self, side: str, of: np.ndarray, classes: int) -> np.ndarray:
         row, other, n = self.pairs(side)
@@ -354,9 +365,9 @@ def place_others(texts: DataFrame, ids, of: np.ndarray, n: np.ndarray, classes:
                 new = np.append(True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False))
                 row = np.cumsum(new) - 1
                 words = word.take(pa.array(np.flatnonzero(new))).to_pylist()
-                lists = part.column("near")
-                near = np.frombuffer(b"".join(lists.to_pylist()), dtype="<u2").astype(np.int64)
-                at = np.repeat(row, pc.binary_length(lists).to_numpy(zero_copy_only=False) // 2) * wide
+                near, starts = flat(part.column("near"), "<u2")
+                near = near.astype(np.int64)
+                at = np.repeat(row, np.diff(starts)) * wide
                 left, right = (np.bincount(at + c, minlength=len(words) * wide).reshape(-1, wide).astype(float) for c in (near >> 8, near & 255))
                 if held is not None:
                     if held[0] == words[0]:
@@ -456,7 +467,7 @@ def transitions(n: np.ndarray, once: int, total: int) -> np.ndarray:
     return np.log10(out)
 
 
-def score_texts(docs: DataFrame, scratch: Scratch, folds: int = 5, held: int = 1, head_words: int = OTHER - 1, known_words: int = 1 << 18, classes: int = 64) -> DataFrame:
+def score_texts(docs: DataFrame, scratch: Scratch, folds: int = 5, held: int = 1, head_words: int = 1 << 15, known_words: int = 1 << 18, classes: int = 64) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Learns from documents whose crc32(doc_id as text) mod ``folds`` is not ``held`` (a null doc_id counts as empty text). Tokens
