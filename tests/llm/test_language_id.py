@@ -45,17 +45,18 @@ def brute_tables(texts, order, symbols):
     return p
 
 
-def test_code_lengths_against_the_definition(spark):
+@pytest.mark.parametrize("order", [2, 4])
+def test_code_lengths_against_the_definition(spark, order):
     rng = random.Random(1)
     rows = documents(rng, 60)
-    langs, symbols, table = language_id.fit(frame(spark, rows).select("text", "lang"), 2)
+    langs, symbols, table = language_id.fit(frame(spark, rows).select("text", "lang"), order)
     assert langs == ["de", "en", "fr"]
     for lang in langs:
-        p = brute_tables([r[1] for r in rows if r[2] == lang], 2, symbols)
+        p = brute_tables([r[1] for r in rows if r[2] == lang], order, symbols)
         for text in ("the und", "les", "zzz q"):
-            s = [0, 0] + [int(x) for x in symbols[np.frombuffer(text.encode(), dtype=np.uint8)]]
-            wanted = sum(-math.log(max(p(s[i - 2 : i], s[i]), 1e-12)) for i in range(2, len(s)))
-            own = table[language_id.grams(np.array(s[2:]), 2), langs.index(lang)].sum()
+            s = [0] * order + [int(x) for x in symbols[np.frombuffer(text.encode(), dtype=np.uint8)]]
+            wanted = sum(-math.log(max(p(s[i - order : i], s[i]), 1e-12)) for i in range(order, len(s)))
+            own = table[language_id.grams(np.array(s[order:]), order), langs.index(lang)].sum()
             assert own == pytest.approx(wanted, rel=1e-4)
 
 
@@ -65,6 +66,20 @@ def test_probabilities_of_a_context_add_up_to_one():
     assert np.allclose(p.sum(1), 1, atol=1e-6)
 
 
+def test_predictions_against_the_definition(spark):
+    """Every document's language and score, by code lengths computed one byte at a time."""
+    rows = documents(random.Random(8), 40) + [(500, "le und the", None, "s"), (501, "Zürich état", None, "s")]
+    learn = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    models = {x: brute_tables([r[1] for r in learn if r[2] == x], 4, language_id.PLACES) for x in sorted({r[2] for r in learn})}
+    out = {r["doc_id"]: r for r in language_id.identify(frame(spark, rows)).collect()}
+    for d, text, *_ in rows:
+        s = [0] * 4 + [int(x) for x in language_id.PLACES[np.frombuffer(text.encode().lower(), dtype=np.uint8)]]
+        nats = {x: sum(-math.log(max(p(s[i - 4 : i], s[i]), 1e-12)) for i in range(4, len(s))) for x, p in models.items()}
+        best = min(nats, key=lambda x: (nats[x], x))
+        assert out[d]["lang_pred"] == best
+        assert out[d]["score"] == pytest.approx(1 / sum(math.exp(nats[best] - v) for v in nats.values()), rel=1e-2)
+
+
 def test_held_out_accuracy_and_inputs(spark):
     rows = documents(random.Random(2))
     out = {r["doc_id"]: r for r in language_id.identify(frame(spark, rows)).collect()}
@@ -90,7 +105,7 @@ def test_a_long_text_is_read_whole(spark):
     text = "the and of to " * 60_000 + "der die und das nicht ist " * 60_000
     rows = documents(random.Random(4), 80)
     langs, symbols, table = language_id.fit(frame(spark, rows).select("text", "lang"), 2)
-    out = language_id.predict(frame(spark, [(1, text)]).select("doc_id", "text"), langs, symbols, table).first()
+    out = language_id.predict(frame(spark, [(1, text)]).select("doc_id", "text"), langs, symbols, table, 2).first()
     whole = table[language_id.grams(symbols[np.frombuffer(text.encode(), dtype=np.uint8)], 2)].sum(0, dtype=np.float64)
     assert out["lang_pred"] == langs[int(whole.argmin())] == "de"
 
@@ -116,6 +131,20 @@ def test_stage_keeps_clean_documents(spark):
     assert {r["doc_id"] for r in out.collect()} == set(range(120))
 
 
+def test_columns_with_the_names_of_results(spark):
+    docs = frame(spark, documents(random.Random(9), 60)).withColumnsRenamed({"name": "lang_pred", "row": "score", "word": "__letter", "hash": "own"})
+    out = language_id.language_stage(spark, docs, "")
+    assert out.columns == docs.columns and out.count() == 60 and out.select("lang_pred").distinct().first()[0] == "x"
+
+
+def test_a_sample_of_each_language(spark):
+    rows = documents(random.Random(10), 300) + [(900, "och det att som", "sv", "s")]
+    docs = frame(spark, rows).select("text", "lang")
+    langs, some = language_id.some_of_each(docs, 40)
+    counts = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
+    assert langs == ["de", "en", "fr", "sv"] and counts["sv"] == 1 and all(15 < counts[x] < 80 for x in ("de", "en", "fr"))
+
+
 def test_more_than_64_languages_and_rare_scripts(spark):
     rng = random.Random(6)
     words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(6)] for k in range(70)}
