@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import Scratch, pieces, sum_before, text_slices, worker_cache
+from ruleframe.llm.common import BROADCAST_ROWS, Scratch, in_slices, pieces, sum_before, tidy, worker_cache
 
 #: A single space between two other characters always begins a token of this vocabulary; texts with other runs of white space go
 #: whole. White space is what Unicode and Python call so; line feeds may stand between words.
@@ -29,18 +29,23 @@ ODD_SPACE = rf"[{SPACE}][{SPACE}]|[{SPACE.replace('\\n', '').replace(' ', '')}]|
 
 
 class Encoder:
-    """Token ids of many texts; each distinct word of a slice is encoded once, and a bounded number is remembered."""
+    """Token ids of many texts; each distinct word of a slice is encoded once, and remembered for the task while all words with their
+    ids have up to ``most`` bytes."""
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    def __init__(self, vocabulary: str, most: int = 48_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(vocabulary), {}, most
+        self.tokenizer, self.known, self.held, self.most = Tokenizer.from_file(vocabulary), {}, 0, most
         added = self.tokenizer.get_added_tokens_decoder()
         plain = [(x.content, k) for k, x in added.items() if not (x.lstrip or x.rstrip or x.single_word or x.normalized)]
         self.mark = min(plain, default=None)
         self.odd = "(?s)" + "|".join([ODD_SPACE, r"\x00", *(re.escape(x.content) for x in added.values())])  # a text that spells an added token goes whole
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(x.ids, dtype="<u4").tobytes()
@@ -66,10 +71,11 @@ class Encoder:
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded, starts = split.flatten().dictionary_encode(), np.cumsum(counts) - counts
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > self.most:
-            self.known.clear()
+        if self.held > self.most:
+            self.forget()
         new = [w for w in names if w not in self.known]
         self.known.update(zip(new, self.encode_words(new), strict=True))
+        self.held += 150 * len(new) + sum(map(len, new)) + sum(len(self.known[w]) for w in new)
         ids = [self.known[w] for w in names]
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         data, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), lengths[codes]
@@ -96,20 +102,20 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = worker_cache(f"encoder {vocabulary}", lambda: Encoder(vocabulary)), np.uint32(end_id).astype("<u4").tobytes()
-        for batch in batches:
-            for lo, hi in text_slices(batch.column(1)):
-                out: list[list] = [[], [], [], [], []]
-                for doc, ids in zip(range(lo, hi), encoder.ids(batch.column(1).slice(lo, hi - lo)), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        piece = ids[4 * start : 4 * (start + window)]
-                        for column, x in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for batch in in_slices(batches, most_bytes=8_000_000):
+            out: list[list] = [[], [], [], [], []]
+            for doc, ids in enumerate(encoder.ids(batch.column(1))):
+                ids += end
+                n = len(ids) // 4
+                for start in range(0, n, window):
+                    piece = ids[4 * start : 4 * (start + window)]
+                    for column, x in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.forget()  # the worker lives on, and with it the tokenizer alone
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def fillings(bins: int) -> np.ndarray:
@@ -194,7 +200,9 @@ def pack(docs: DataFrame, scratch: Scratch, vocabulary: str, window: int = 2048,
             slot += m
         base += times
     spark = cut.sparkSession
-    plan = F.broadcast(spark.createDataFrame(plan or [(0, 0, 0, 1, 0, 0)], "bin int, lo long, hi long, uses long, base long, slot long"))  # at most a few rows per bin
+    if len(plan) > BROADCAST_ROWS:  # a recipe uses up a bin or is a column of the least squares, so there are a few for each bin
+        raise ValueError(f"{len(plan)} recipes for {bins} bins")
+    plan = F.broadcast(spark.createDataFrame(plan or [(0, 0, 0, 1, 0, 0)], "bin int, lo long, hi long, uses long, base long, slot long"))
     ranked = sum_before(cut, ["bin"], ["doc_id", "start", "ids_crc32", "doc_tokens"], F.lit(1), "rank", pieces(int(histogram.sum())))
     chosen = ranked.join(plan, (ranked["bin"] == plan["bin"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).drop(plan["bin"])
     chosen = chosen.withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("uses"))).withColumn("place", F.col("slot") + (F.col("rank") - F.col("lo")) % F.col("uses"))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import Scratch, checked_broadcast, components, text_slices
+from ruleframe.llm.common import Scratch, checked_broadcast, components, in_slices, text_slices, tidy
 
 #: Frequent n-grams that are moved to the end of the global order; a list of this length at most goes to every task.
 FREQUENT = 100_000
@@ -57,7 +57,7 @@ def rolled(numbers: np.ndarray, n: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """For each text, the sorted distinct n-gram numbers; with fewer words than ``n``, the whole sequence is one n-gram."""
-    for lo, hi in text_slices(texts):
+    for lo, hi in text_slices(texts, 4_000_000):
         counts, numbers = word_numbers(texts.slice(lo, hi - lo))
         grams = rolled(numbers, n) if len(numbers) >= n else numbers[:0]
         at = 0
@@ -100,12 +100,12 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, size, a, b, sketch)``: the set's size, 128-bit name and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             out = [(len(s), *name_of(s), sketch(s)) for s in shingle_sets(batch.column(1), n)]
             columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "size", "a", "b", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, size long, a long, b long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, size long, a long, b long, sketch binary")
 
 
 def prefixes(docs: DataFrame, n: int, share: tuple[int, int], frequent) -> DataFrame:
@@ -114,19 +114,19 @@ def prefixes(docs: DataFrame, n: int, share: tuple[int, int], frequent) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, met = frequent.value if frequent is not None else np.zeros(0, dtype=np.uint64), set()
-        for batch in batches:
+        for batch in in_slices(batches):
             out, names = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            if len(met) > 500_000:
+            if len(met) > 100_000:
                 met.clear()
             for s in shingle_sets(batch.column(0), n):
-                if not len(s) or (name := name_of(s)) in met:
+                if not len(s) or (name := name_of(s))[0] in met:
                     continue
-                met.add(name)
+                met.add(name[0])
                 out.append(in_order(s, late)[: prefix_length(len(s), share)])
                 names.append(np.full(len(out[-1]), name[0], dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(names))], names=["gram", "a"])
 
-    return docs.select("text").mapInArrow(run, "gram long, a long")
+    return docs.select("text").mapInArrow(tidy(run), "gram long, a long")
 
 
 def frequent_numbers(docs: DataFrame, scratch: Scratch, n: int, share: tuple[int, int]) -> np.ndarray:
@@ -292,7 +292,7 @@ def by_group(rows: DataFrame, keys: list[str], schema: str, work: Callable[[tupl
         if held:
             yield from work(key, pa.Table.from_batches(held).combine_chunks()).to_batches()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
 def with_grams(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
@@ -300,26 +300,29 @@ def with_grams(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     names = [x for x in rows.columns if x != "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             grams = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), n)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ["id", *names]), grams], names=["id", *names, "grams"])
 
     kinds = dict(rows.dtypes)
     chosen = docs.select(F.col("doc_id").alias("id"), "text").join(checked_broadcast(rows, rows.count()), "id").select("id", *names, "text")
-    return chosen.mapInArrow(run, "id long, " + ", ".join(f"{x} {kinds[x]}" for x in names) + ", grams binary")
+    return chosen.mapInArrow(tidy(run), "id long, " + ", ".join(f"{x} {kinds[x]}" for x in names) + ", grams binary")
 
 
-def dealt_by_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
-    """``rows(bucket, id, n, ...)`` with ``half, side``: buckets of up to ``block_rows`` rows are one block (-1); of larger ones
-    every row goes to all pairs of its own block with another."""
+def dealt_by_pairs(rows: DataFrame, scratch: Scratch, block_rows: int) -> DataFrame:
+    """``rows(bucket, id, ...)`` with ``half, side``: buckets of up to ``block_rows`` rows are one block (-1); of larger ones every
+    row goes to all pairs of its own block with another. Only the larger ones' names and sizes meet the rows, so that no task gets
+    a whole bucket; there is one for every ``block_rows`` rows at most."""
+    large = scratch.keep(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows), "large-buckets")
+    large = checked_broadcast(large, large.count())
+    small = rows.join(large.select("bucket"), "bucket", "left_anti").withColumns({"half": F.lit(-1).cast("long"), "side": F.lit(0).cast("long")})
     blocks = F.ceil(F.col("n") / block_rows).cast("long")
-    own = F.when(blocks > 1, F.pmod(F.xxhash64("id"), blocks)).otherwise(0).cast("long")
-    out = rows.withColumns({"blocks": blocks, "side": own}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    out = rows.join(large, "bucket").withColumns({"blocks": blocks, "side": F.pmod(F.xxhash64("id"), blocks).cast("long")}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     half = F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")
-    return out.withColumn("half", F.when(F.col("blocks") > 1, half).otherwise(-1)).drop("blocks", "other")
+    return small.unionByName(out.withColumn("half", half).select(small.columns))
 
 
-def may_be_similar(members: DataFrame, share: tuple[int, int], block_rows: int) -> DataFrame:
+def may_be_similar(members: DataFrame, scratch: Scratch, share: tuple[int, int], block_rows: int) -> DataFrame:
     """``members(bucket, id, size, sketch)`` -> ``(kind, grp, id, partners)``: groups of sets that may be similar. A bucket in one
     block falls into its components (kind 0, named by the smallest id); a larger one stays one group (kind 1)."""
 
@@ -335,8 +338,7 @@ def may_be_similar(members: DataFrame, share: tuple[int, int], block_rows: int)
         grp = np.array([names[r] for r in roots], dtype=np.int64) if key[1] == -1 else np.full(len(ids), key[0])
         return pa.table({"kind": pa.array(np.full(int(kept.sum()), int(key[1] != -1), dtype=np.int64)), "grp": grp[kept], "id": ids[kept], "partners": partners[kept]})
 
-    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = dealt_by_pairs(members.join(counts, "bucket"), block_rows).select("bucket", "half", "side", "id", "size", "sketch")
+    dealt = dealt_by_pairs(members, scratch, block_rows).select("bucket", "half", "side", "id", "size", "sketch")
     found = by_group(dealt, ["bucket", "half"], "kind long, grp long, id long, partners long", work)
     return found.groupBy("kind", "grp", "id").agg(F.sum("partners").alias("partners"))
 
@@ -384,7 +386,7 @@ def near_documents(docs: DataFrame, scratch: Scratch, n: int = 5, share: tuple[i
     members = lists.join(first, "gram").select("bucket", "a").distinct()
     reps = named.select("doc_id", "a", "b", "size", "sketch").join(ids.select("a", "b", F.col("id").alias("doc_id")), ["a", "b", "doc_id"]).dropDuplicates(["a", "b"])
     members = scratch.keep(members.join(reps.select("a", F.col("doc_id").alias("id"), "size", "sketch"), "a").drop("a"), "members")
-    chosen = scratch.keep(may_be_similar(members, share, block_rows), "chosen")
+    chosen = scratch.keep(may_be_similar(members, scratch, share, block_rows), "chosen")
     sized = chosen.join(chosen.groupBy("kind", "grp").agg(F.count(F.lit(1)).alias("n"), F.max_by("id", F.struct("partners", -F.col("id"))).alias("top")), ["kind", "grp"])
     # a group beyond a block: in the first round every block holds the set with most possible partners too; what that round does
     # not join to it meets all others in a second round, block by block
