@@ -211,7 +211,8 @@ class Exchange:
     """Exchange of words ``0..len(counts)-1`` between classes, over the stored table of ``neighbours``."""
 
     def __init__(self, table: DataFrame, counts: np.ndarray, classes: int):
-        self.table, self.classes, self.words = table, classes, len(counts)
+        # a bounded number of words with a bounded number of neighbours: a bounded number of tasks, each with a class matrix
+        self.table, self.classes, self.words = table.coalesce(64), classes, len(counts)
         self.of = np.full(OTHER + 1, classes, dtype=np.uint8)
         self.of[: self.words] = np.arange(self.words) % classes
         self.from_other = np.zeros(OTHER + 1, dtype=np.int64)
