@@ -7,6 +7,7 @@ is a line item (file: order, name: part type, version: from the part's size and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ruleframe.operators import dependencies as D
 from ruleframe.operators import emit, leaves
 from ruleframe.sources import dependencies as SD
 from ruleframe.sources import files as S
+from ruleframe.sources.symbols import kind_name
 from ruleframe.streaming import changes, progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,12 +91,12 @@ def scope_include_exclude(spark, sf):
     return f.filter((T.within_base(p, "src1") | T.within_base(p, "src2/")) & ~T.path_matches(p, r"[.]fr$")).select("path")
 
 
-@query("scope_precedence", f"WITH {FILES} SELECT path, CASE WHEN path LIKE 'src3/%' THEN 'rule' ELSE 'provider' END AS scope FROM files WHERE CASE WHEN path LIKE 'src3/%' THEN NOT regexp_matches(path, '[.]es$') ELSE NOT regexp_matches(path, '[.]en$') END")
+@query("scope_precedence", f"WITH {FILES} SELECT path, 'rule' AS scope FROM files WHERE path LIKE 'src3/%' AND NOT regexp_matches(path, '[.]es$') UNION ALL SELECT path, 'provider' FROM files WHERE NOT regexp_matches(path, '[.]en$') UNION ALL SELECT path, 'condition' FROM files WHERE path LIKE 'src3/%' AND regexp_matches(path, '[.]de$')")
 def scope_precedence(spark, sf):
-    p = F.col("path")
-    rule = T.within_base(p, "src3")
-    keep = F.when(rule, ~T.path_matches(p, "[.]es$")).otherwise(~T.path_matches(p, "[.]en$"))
-    return files(spark, sf).filter(keep).select("path", F.when(rule, "rule").otherwise("provider").alias("scope"))
+    f, p = files(spark, sf).select("path"), F.col("path")
+    rule, provider = S.Scope(("src3",), ("[.]es$",)), S.Scope((), ("[.]en$",))
+    named = [("rule", S.in_scope(p, (), rule, provider)), ("provider", S.in_scope(p, (), S.Scope(), provider)), ("condition", S.in_scope(p, ("[.]de$",), rule, provider))]
+    return reduce(DataFrame.unionAll, [f.filter(c).select("path", F.lit(n).alias("scope")) for n, c in named])
 
 
 @query("default_exclusions", f"WITH {FILES} SELECT 'vendor/' || path AS path, true AS excluded FROM files UNION ALL SELECT path, false FROM files")
@@ -145,9 +147,12 @@ def filecontent_multiline_lines(spark, sf):
     return leaves.filecontent(files(spark, sf), {"r": "[a-z][.]\\nAn"}).select("rule_id", "uri", "line_no")
 
 
-@query("filecontent_file_pattern", f"WITH {LINES} {hits_sql('r', 'de la [a-z]+', where=chr(39).join(['regexp_matches(path, ', '[.]fr$', ')']))}")
+ENGLISH = "regexp_matches(path, '[.]en$')"
+
+
+@query("filecontent_file_pattern", f"WITH {LINES} {hits_sql('r', WORD, where=ENGLISH)}")
 def filecontent_file_pattern(spark, sf):
-    return flat(leaves.filecontent(files(spark, sf), {"r": "de la [a-z]+"}, "[.]fr$"))
+    return flat(leaves.filecontent(files(spark, sf), {"r": WORD}, "[.]en$"))
 
 
 RULES = {"license": "[Ll]icensed? under [A-Za-z ]+", "digits": "[0-9]{8,}", "title": "^[A-Z][a-z]+ [a-z]+ ation"}
@@ -564,8 +569,9 @@ def tag_parse(spark, sf):
 
 @query(
     "code_snippet",
-    f"""WITH {LINES}, h AS (SELECT path, line_no FROM lines WHERE regexp_matches(line, '{B}')), n AS (SELECT h.path, h.line_no, l.line_no AS k, l.line, length((h.line_no + 2)::varchar) AS w FROM h JOIN lines l ON l.path = h.path AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2)
-    SELECT path AS uri, line_no, string_agg(lpad(k::varchar, w::int, ' ') || '  ' || line, chr(10) ORDER BY k) AS code_snip FROM n GROUP BY 1, 2""",
+    f"""WITH {FILES}, arr AS (SELECT path, string_split(regexp_replace(content, chr(10) || '$', ''), chr(10)) AS a FROM files), lines AS (SELECT path, len(a) AS size, i::int AS line_no, a[i] AS line FROM (SELECT path, a, unnest(range(1, len(a) + 1)) AS i FROM arr)),
+    h AS (SELECT path, line_no FROM lines WHERE regexp_matches(line, '{B}')), n AS (SELECT h.path, h.line_no, l.size, l.line_no AS k, l.line, length((h.line_no + 2)::varchar) AS w FROM h JOIN lines l ON l.path = h.path AND l.line_no BETWEEN h.line_no - 1 AND h.line_no + 3)
+    SELECT path AS uri, line_no, string_agg(lpad(k::varchar, greatest(w, length(k::varchar))::int, ' ') || '  ' || line, chr(10) ORDER BY k) || CASE WHEN max(size) < line_no + 3 THEN chr(10) ELSE '' END AS code_snip FROM n GROUP BY 1, 2""",
 )
 def code_snippet(spark, sf):
     f = files(spark, sf)
@@ -575,13 +581,10 @@ def code_snippet(spark, sf):
 
 @query(
     "multiline_grep",
-    f"WITH {LINES}, w AS (SELECT path, line_no, string_agg(trim(line), '') OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS t FROM lines) SELECT path AS uri, greatest(1, min(line_no) - 2)::int AS line_no FROM w WHERE regexp_matches(t, '{B}.* {A}') GROUP BY path",
+    f"WITH {LINES}, w AS (SELECT path, line_no, string_agg(trim(replace(line, chr(9), '')), chr(10)) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS t FROM lines) SELECT path AS uri, greatest(1, min(line_no) - 2)::int AS line_no FROM w WHERE regexp_matches(t, '[a-z][.]\\nAn', 's') GROUP BY path",
 )
 def multiline_grep(spark, sf):
-    window = W.partitionBy("path").orderBy("line_no").rowsBetween(-2, 0)
-    t = F.array_join(F.collect_list(F.btrim("line")).over(window), "")
-    hits = S.lines(files(spark, sf)).withColumn("t", t).filter(F.col("t").rlike(f"{B}.* {A}"))
-    return hits.groupBy(F.col("path").alias("uri")).agg(F.greatest(F.lit(1), F.min("line_no") - 2).alias("line_no"))
+    return leaves.multiline_grep(files(spark, sf), "r", "[a-z][.]\\nAn").select("uri", "line_no")
 
 
 @query("incident_limit", f"WITH {LINES}, h AS (SELECT DISTINCT 'r-' || split_part(path, '.', 2) AS rule_id, path AS uri, line_no FROM lines WHERE regexp_matches(line, '{A}')) SELECT rule_id, uri, line_no FROM h QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY uri, line_no) <= 5")
@@ -754,10 +757,10 @@ def maven_tree(spark, sf):
 @query(
     "gradle_tree",
     """SELECT p_partkey || '.txt' AS path, v.depth::int AS depth, v.name AS name, v.version AS version, v.parent AS parent FROM part,
-    LATERAL (VALUES (0, 'g.a', p_size || '.1', NULL), (1, 'g.b', '3', 'g.a'), (2, 'g.d', '4', 'g.b'), (0, 'h.c', '5', NULL)) v(depth, name, version, parent)""",
+    LATERAL (VALUES (0, 'g.a', p_size || '.1', NULL), (1, 'g.b', '3', 'g.a'), (2, 'g.d', '4', 'g.b'), (1, 'g.f', '7', 'g.a')) v(depth, name, version, parent)""",
 )
 def gradle_tree(spark, sf):
-    text = F.concat(F.lit("runtimeClasspath\n+--- g:a:"), F.col("p_size").cast("string"), F.lit(".1\n|    \\--- g:b:2 -> 3\n|         \\--- g:d:4 (*)\n\\--- h:c:5 (n)\n\n(*) - repeated"))
+    text = F.concat(F.lit("runtimeClasspath\n+--- g:a:"), F.col("p_size").cast("string"), F.lit(".1\n|    \\--- g:b:2 -> 3\n|         \\--- g:d:4\n|    +--- g:e:6 (*)\n|    \\--- g:f:7\n\\--- h:c:5 (n)\n\n(*) - repeated"))
     listing = S.lines(read(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"), text.alias("content")))
     return SD.gradle_listing(listing).select("path", "depth", "name", "version", "parent")
 
@@ -840,3 +843,94 @@ def rule_engine(spark, sf):
     ]
     result = Analyzer(files=files(spark, sf)).run([rule(r, "set", []) for r in rules], most_incidents=0)
     return result.violations.select("rule_id", "n_incidents", "kind")
+
+
+# ---- rules as a whole, and leaves over what is not well-formed ----------------------------------------------------------------
+
+
+def analyzed(spark, sf, rules: list[dict], table: DataFrame | None = None, **tables) -> DataFrame:
+    from ruleframe.plans.engine import Analyzer
+    from ruleframe.plans.rules import rule
+
+    out = Analyzer(files=files(spark, sf) if table is None else table, **tables).run([rule(r | {"message": "m"}, "set", []) for r in rules], most_incidents=0)
+    return out.incidents.select("rule_id", "uri", "line_no")
+
+
+def search(pattern: str, **more) -> dict:
+    return {"builtin.filecontent": {"pattern": pattern}} | more
+
+
+@query(
+    "nested_gate",
+    f"WITH {LINES}, a AS (SELECT DISTINCT path AS uri, line_no FROM lines WHERE regexp_matches(line, '{A}')), b AS (SELECT DISTINCT path AS uri, line_no FROM lines WHERE regexp_matches(line, '{B}')) "
+    "SELECT 'not' AS rule_id, * FROM a UNION ALL SELECT 'ignored', * FROM b UNION ALL SELECT 'either', * FROM (SELECT * FROM a UNION SELECT * FROM b)",
+)
+def nested_gate(spark, sf):
+    return analyzed(spark, sf, [
+        {"ruleID": "not", "when": {"and": [search(A), {"or": [search(NONE, **{"not": True}), search("yyyy+q")]}]}},
+        {"ruleID": "ignored", "when": {"and": [search(B), {"and": [search(A, ignore=True)]}]}},
+        {"ruleID": "neither", "when": {"and": [search(A), {"or": [search(NONE), search("yyyy+q")]}]}},
+        {"ruleID": "either", "when": {"or": [{"and": [search(A), search(NONE)]}, search(B)]}},
+    ])
+
+
+@query("xml_malformed", "SELECT p_partkey || '.xml' AS uri, 2 AS line_no, p_brand AS found FROM part WHERE p_size % 3 = 0")
+def xml_malformed(spark, sf):
+    p = read(spark, sf, "part")
+    good = F.concat(F.lit('<?xml version="1.0"?>\n<q:part xmlns:q="http://x"><q:v>'), "p_brand", F.lit("</q:v></q:part>"))
+    text = F.when(F.col("p_size") % 3 == 0, good).when(F.col("p_size") % 3 == 1, F.concat(F.lit("<part><v>"), "p_brand", F.lit("</part>"))).otherwise("a < b & c")
+    f = p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".xml")).alias("path"), text.alias("content"))
+    return flat(leaves.xml(f, "r", "/q:part/q:v")).select("uri", "line_no", "found")
+
+
+@query("json_deep", "SELECT event_id::varchar AS uri, json_extract_string(props, '$.k') AS found FROM events WHERE json_extract(props, '$.k') IS NOT NULL UNION ALL SELECT event_id::varchar, 'x' FROM events")
+def json_deep(spark, sf):
+    nested = F.concat(F.lit('{"a": {"b": [{"c": {"d": '), "props", F.lit('}}, {"k": "x"}]}}'))
+    f = read(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), nested.alias("content"))
+    return flat(leaves.json(f, "r", "//k")).select("uri", "found")
+
+
+@query("k8s_rule", "SELECT 'old' AS rule_id, p_partkey || '.yaml' AS uri, 2 AS line_no FROM part WHERE p_size > 25")
+def k8s_rule(spark, sf):
+    text = F.when(F.col("p_size") > 25, "apiVersion: extensions/v1beta1\nkind: Ingress\n").otherwise("apiVersion: v1\nkind: Pod\n")
+    f = read(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".yaml")).alias("path"), text.alias("content"))
+    fields = {"apiVersion": "extensions/v1beta1", "kind": "Ingress", "deprecatedIn": "v1.14", "removedIn": "v1.22", "replacementAPI": "networking.k8s.io/v1"}
+    return analyzed(spark, sf, [{"ruleID": "old", "when": {"yaml.k8sResourceMatched": fields}}], f, k8s_version="v1.25")
+
+
+@query("node_references", "SELECT DISTINCT 'r' AS rule_id, 'ws/' || l_orderkey || '.ts' AS uri, (l_linenumber + 1)::int AS line_no FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 40 AND p_brand LIKE '%3'")
+def node_references(spark, sf):
+    p, l = read(spark, sf, "part"), read(spark, sf, "lineitem")
+    scope = F.when(F.col("p_size") > 40, "node_modules/@lib/ui/").otherwise("node_modules/other/")
+    declarations = p.select(F.concat(scope, F.lit("index.d.ts")).alias("uri"), F.concat(F.lit("Sym"), F.regexp_extract("p_brand", ".$", 0)).alias("name"), F.col("p_partkey").alias("symbol_id"))
+    refs = l.select(F.concat(F.lit("ws/"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("uri"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("symbol_id"))
+    return analyzed(spark, sf, [{"ruleID": "r", "when": {"nodejs.referenced": {"pattern": "@lib/ui#Sym3"}}}], files(spark, sf).limit(0), declarations=declarations, refs=refs, workspace="ws", dependency_dirs=["node_modules"])
+
+
+@query("prerelease_bounds", "SELECT p_partkey FROM part WHERE p_size % 4 IN (1, 3)")
+def prerelease_bounds(spark, sf):
+    from ruleframe.functions.versions import within_bounds
+
+    k = F.col("p_size") % 4
+    v = F.when(k == 0, "1.0.0-rc1").when(k == 1, "1.0.0").when(k == 2, "1.0.0.0.9").otherwise("1.0.0.0.7-beta")
+    return read(spark, sf, "part").filter(within_bounds(v, "1.0.0", "1.0.0.0.8")).select("p_partkey")
+
+
+@query("long_prefix", "SELECT p_partkey || '' AS rule_id FROM part WHERE p_size > 25")
+def long_prefix(spark, sf):
+    p = read(spark, sf, "part")
+    folder = F.concat(F.lit("file:///home/u/.m2/repository/org/apache/a/b/c/d/e/f/"), F.when(F.col("p_size") > 25, "kept").otherwise("gone"))
+    found = p.select(F.col("p_partkey").cast("string").alias("rule_id"), F.concat(folder, F.lit("/x/1.0/x-1.0.jar")).alias("uri"), F.lit(1).alias("line_no"), F.create_map().cast("map<string,string>").alias("variables"), F.lit(True).alias("is_dep"))
+    return D.of_selected(found, spark.createDataFrame([("file:///home/u/.m2/repository/org/apache/a/b/c/d/e/f/kept/x/",)], "prefix string")).select("rule_id")
+
+
+@query("symbol_kinds", "SELECT p_partkey, CASE p_size WHEN 1 THEN 'File' WHEN 5 THEN 'Class' WHEN 12 THEN 'Function' WHEN 26 THEN 'TypeParameter' ELSE '' END AS kind FROM part WHERE p_size IN (1, 5, 12, 26, 27, 50)")
+def symbol_kinds(spark, sf):
+    return read(spark, sf, "part").filter(F.col("p_size").isin(1, 5, 12, 26, 27, 50)).select("p_partkey", kind_name(F.col("p_size")).alias("kind"))
+
+
+@query("complete_artifacts", "SELECT DISTINCT p_brand AS artifact, p_size || '' AS version FROM part WHERE p_size % 2 = 0")
+def complete_artifacts(spark, sf):
+    size = F.col("p_size")
+    rows = read(spark, sf, "part").select(F.lit("g").alias("group"), F.col("p_brand").alias("artifact"), F.when(size % 2 == 0, size.cast("string")).otherwise("").alias("version"), F.lit("jar").alias("packaging"))
+    return SD.complete_artifacts(rows).select("artifact", "version")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Characters that make a path pattern more than a plain name.
 WILD = "*?[]$^"
+# Characters that make a pattern a regex, and HTML escapes.
 #: Regex characters; a pattern without them is a literal.
 META = ".*+?^$[]{}()|\\"
 #: HTML escapes of a template value, in order of replacement.
@@ -123,7 +124,8 @@ def compact_xml(xml: Column) -> Column:
 
 def whole_word(query: str) -> str:
     """A regex for ``query`` as a whole identifier of letters, digits, ``_``, ``$`` and ``#``."""
-    return rf"(?<![0-9A-Za-z_$#])\Q{query}\E(?![0-9A-Za-z_$#])"
+    quoted = query.replace("\\E", "\\E\\\\E\\Q")
+    return rf"(?<![0-9A-Za-z_$#])\Q{quoted}\E(?![0-9A-Za-z_$#])"
 
 
 def symbol_regex(query: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ def distinct_dependencies(deps: DataFrame) -> DataFrame:
 def flatten(spark, edges: DataFrame, roots: DataFrame, most_depth: int = 100) -> DataFrame:
     """``(root, node, depth)`` of all paths down a dependency graph; a node is listed once for each path. A path of more than
     ``most_depth`` steps, as in a graph with a cycle, is an error."""
-    edges.createOrReplaceTempView("__edges")
-    roots.createOrReplaceTempView("__roots")
+    name = uuid.uuid4().hex  # two results do not see each other's views
+    edges.createOrReplaceTempView(f"edges_{name}")
+    roots.createOrReplaceTempView(f"roots_{name}")
     return spark.sql(f"""
         WITH RECURSIVE walk(root, node, depth) MAX RECURSION LEVEL {most_depth + 3} AS (
-          SELECT node, node, 0 FROM __roots
+          SELECT node, node, 0 FROM roots_{name}
           UNION ALL
-          SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN __edges e ON e.parent = w.node WHERE w.depth <= {most_depth}
+          SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN edges_{name} e ON e.parent = w.node WHERE w.depth <= {most_depth}
         ) SELECT root, node, depth FROM walk WHERE IF(depth > {most_depth}, raise_error('a path is longer than {most_depth} steps'), true)""")
 
 

@@ -44,20 +44,36 @@ def distinct_incidents(found: DataFrame) -> DataFrame:
 
 
 def limited(found: DataFrame, most: int = MOST_INCIDENTS) -> DataFrame:
-    """The first ``most`` incidents of every rule; 0 is no limit. Spark cuts each task's rows to ``most`` a rule before the shuffle."""
+    """The first ``most`` incidents of every rule; 0 is no limit. A rule's incidents are dealt to parts by file, each of which leaves
+    ``most`` at most, so a rule with nearly all incidents is no task of its own before only these are left."""
     if not most:
         return found
-    rank = F.row_number().over(W.partitionBy("rule_id").orderBy(F.col("uri"), F.coalesce("line_no", F.lit(0)), F.col("message")))
-    return found.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
-
-
-def snippet(content: Column, line: Column, context: int = CONTEXT) -> Column:
-    """The numbered lines from ``context`` before to ``context`` after ``line``, numbers padded to the last one's width."""
-    first = F.greatest(line - context, F.lit(1))
-    last = line + context
-    parts = F.slice(F.split(content, "\n", -1), first, last - first + 1)
-    width = F.length(last.cast("string"))
-    return F.array_join(F.transform(parts, lambda x, i: F.concat(F.lpad((first + i).cast("string"), width, F.lit(" ")), F.lit("  "), x)), "\n")
+    order = (F.col("uri"), F.coalesce("line_no", F.lit(0)), F.col("message"))
+    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    few = found.withColumn("__part", F.pmod(F.xxhash64("uri"), F.lit(256)))
+    few = few.withColumn("__rank", rank("rule_id", "__part")).filter(F.col("__rank") <= most).drop("__part", "__rank")
+    return few.withColumn("__rank", rank("rule_id")).filter(F.col("__rank") <= most).drop("__rank")
+
+
+def snippet(content: Column, line: Column, context: int = CONTEXT, trimmed: bool = False) -> Column:
+    """The numbered lines from ``context - 1`` before to ``context + 1`` after ``line``, numbers padded to the width of ``line + context``.
+    Where the text ends before the last of them, a line feed follows. ``trimmed``: as for Java sources, lines without outer white
+    space, a line feed before each."""
+    first = F.greatest(line - context + 1, F.lit(1))
+    last = line + context + 1
+    lines = F.split(F.regexp_replace(content, r"\n\z", ""), "\n", -1)
+    parts = F.slice(lines, first, last - first + 1)
+    width = F.length((line + context).cast("string"))
+    number = lambda i: F.lpad((first + i).cast("string"), F.greatest(width, F.length((first + i).cast("string"))), F.lit(" "))
+    shown = F.transform(parts, lambda x, i: F.concat(number(i), F.lit("  "), F.btrim(x) if trimmed else x))
+    if trimmed:
+        return F.array_join(F.transform(shown, lambda x: F.concat(F.lit("\n"), x)), "")
+    return F.concat(F.array_join(shown, "\n"), F.when((F.size(lines) < last) & (F.size(parts) > 0), "\n").otherwise(""))
+
+
+def first_snippet(*made: Column) -> Column:
+    """The first of several providers' snippets that is not empty."""
+    return F.coalesce(*(F.nullif(x, F.lit("")) for x in made))
 
 
 def with_snippets(found: DataFrame, files: DataFrame, context: int = CONTEXT, most: int = MOST_SNIPPETS) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ruleframe.functions import text as T
 from ruleframe.functions.versions import semver, within_bounds
+from ruleframe.sources.symbols import known_location
 
 NO_VARIABLES = "map()"
 
@@ -34,65 +35,81 @@ def needs_whole_text(pattern: str) -> bool:
     return any(x in pattern for x in ("\\n", "\\r", "(?s)", "(?m)", "\\s", "[^>", "[^<"))
 
 
-def file_filter(patterns: list[str]) -> Column:
-    """True for every file that may hold a match. Only a lone pattern is tested on the whole text first: one that is matched there
-    in any case, or one whose matches in a line do not hang on what is around them (anchors, looking ahead or behind)."""
-    if len(patterns) != 1:
-        return F.lit(True)
-    if needs_whole_text(patterns[0]):
-        return F.col("content").rlike(in_text(patterns[0]))
-    if re.search(r"[\^$]|\\[AzZGbB]|\(\?<?[=!]", patterns[0]):
-        return F.lit(True)
-    return F.col("content").rlike(T.java(patterns[0]))
-
-
 def in_text(pattern: str) -> str:
     """``pattern`` for whole texts: ``^`` and ``$`` stand at line feeds too."""
     return "(?dm)" + pattern.replace("(?P<", "(?<")
 
 
-def matches_in_lines(content: Column, patterns: dict[str, str]) -> Column:
-    """An array of (rule_id, line_no, match) for all rules, built in one pass over a file's lines."""
-    parts = F.split(content, "\n", -1)
+def is_literal(pattern: str) -> bool:
+    return bool(pattern) and not any(c in T.META or c == "\n" for c in pattern)
 
-    def of(rule: str, pattern: str) -> Column:
-        def in_line(line: Column, i: Column) -> Column:
-            return F.transform(F.regexp_extract_all(line, F.lit(T.java(pattern)), 0), lambda m: F.struct(F.lit(rule).alias("rule_id"), (i + 1).alias("line_no"), m.alias("match")))
 
-        return F.flatten(F.transform(parts, in_line))
+def guard(content: Column, pattern: str) -> Column | None:
+    """False only for files that hold no match, so that lines are cut for few files: the pattern on the whole text, if it is matched
+    there in any case, or if its matches in a line do not hang on what is around them (anchors, looking ahead or behind)."""
+    if is_literal(pattern):
+        return F.contains(content, F.lit(pattern))
+    if needs_whole_text(pattern):
+        return content.rlike(in_text(pattern))
+    return None if re.search(r"[\^$]|\\[AzZGbB]|\(\?<?[=!]", pattern) else content.rlike(T.java(pattern))
 
-    return F.concat(*(of(rule, pattern) for rule, pattern in patterns.items()))
 
+def hit(key: str, line: Column, match: Column) -> Column:
+    return F.struct(F.lit(key).alias("rule_id"), line.cast("int").alias("line_no"), match.alias("match"))
+
+
+def matches_in_lines(content: Column, key: str, pattern: str) -> Column:
+    """An array of (rule_id, line_no, match) of a pattern in every line."""
+
+    def in_line(line: Column, i: Column) -> Column:
+        return F.transform(F.regexp_extract_all(line, F.lit(T.java(pattern)), 0), lambda m: hit(key, i + 1, m))
+
+    return F.flatten(F.transform(F.split(content, "\n", -1), in_line))
+
+
+#: Marks the first character of a match; a character that Unicode keeps out of texts.
+MARK = "\ufdd0"
+
+
+def matches_in_text(content: Column, key: str, pattern: str) -> Column:
+    """As ``matches_in_lines`` over the whole text; a match's line is that of its first character.
+
+    Matches are marked, and the marks of each line counted: every text is read three times, whatever the number of matches."""
+    p, plain = F.lit(in_text(pattern)), F.replace(content, F.lit(MARK), F.lit(" "))
+    marked = F.regexp_replace(plain, p, F.lit(MARK + "$0"))
+    marks = lambda line: F.length(line) - F.length(F.replace(line, F.lit(MARK), F.lit("")))
+    lines = F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(i + 1, marks(line))))
+    return F.transform(F.arrays_zip(F.regexp_extract_all(plain, p, 0).alias("match"), lines.alias("line")), lambda x: hit(key, x["line"], x["match"]))
 
-def matches_in_text(content: Column, rule: str, pattern: str) -> Column:
-    """As ``matches_in_lines`` over the whole text; a match's line is that of its first character."""
-    p = F.lit(in_text(pattern))
-    found = F.regexp_extract_all(content, p, 0)
-    # the text before the k-th match is the first k + 1 pieces between matches and the k matches among them
-    between = F.split(content, p, -1)
-    feeds = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    step = F.transform(found, lambda m, k: feeds(F.element_at(between, k + 1)) + F.when(k > 0, feeds(F.get(found, k - 1))).otherwise(0))
-    line = lambda k: F.aggregate(F.slice(step, 1, k + 1), F.lit(1), lambda a, x: a + x)
-    return F.transform(found, lambda m, k: F.struct(F.lit(rule).alias("rule_id"), line(k).alias("line_no"), m.alias("match")))
 
+def matches_of_literal(content: Column, key: str, text: str) -> Column:
+    """Overlapping occurrences of a text without line feeds. A line is cut before each; only one at its very front makes no cut."""
 
-def matches_of_literal(content: Column, rule: str, literal: str) -> Column:
-    """Overlapping occurrences of a literal."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(content) - len(literal) + 1, F.lit(1))), lambda i: F.substring(content, i, len(literal)) == literal)
-    line = lambda i: F.length(F.substring(content, F.lit(1), i - 1)) - F.length(F.replace(F.substring(content, F.lit(1), i - 1), F.lit("\n"), F.lit(""))) + 1
-    return F.transform(starts, lambda i: F.struct(F.lit(rule).alias("rule_id"), line(i).alias("line_no"), F.lit(literal).alias("match")))
+    def in_line(line: Column, i: Column) -> Column:
+        n = F.size(F.split(line, rf"(?=\Q{text}\E)", -1)) - 1 + F.startswith(line, F.lit(text)).cast("int")
+        return F.array_repeat(hit(key, i + 1, F.lit(text)), n)
 
+    return F.flatten(F.transform(F.split(content, "\n", -1), in_line))
 
-def filecontent(files: DataFrame, patterns: dict[str, str], file_pattern: str | None = None) -> DataFrame:
-    """Matches of every pattern in one scan of the files; variable ``matchingText``. Files that a lone pattern cannot
-    meet are dropped before lines are cut."""
+
+def filecontent(files: DataFrame, patterns: dict[str, str], file_pattern: str | None = None, only: dict[str, Column] | None = None) -> DataFrame:
+    """Matches of every pattern in one scan of the files; variable ``matchingText``. A pattern without regex characters is a text, whose
+    overlapping occurrences count. ``only``: conditions on ``path`` for some patterns. Lines are cut only where a file holds a match, as far as the
+    whole text can tell."""
     if file_pattern:
         files = files.filter(T.path_matches(F.col("path"), file_pattern))
-    by_line = {r: p for r, p in patterns.items() if not needs_whole_text(p)}
-    whole = {r: p for r, p in patterns.items() if needs_whole_text(p)}
-    found = [matches_in_lines(F.col("content"), by_line)] if by_line else []
-    found += [matches_in_text(F.col("content"), r, p) for r, p in whole.items()]
-    hits = files.filter(file_filter(list(patterns.values()))).select("path", F.explode(F.concat(*found)).alias("m"))
+    content, found = F.col("content"), []
+    for key, pattern in patterns.items():
+        search = matches_of_literal if is_literal(pattern) else matches_in_text if needs_whole_text(pattern) else matches_in_lines
+        holds, path = guard(content, pattern), (only or {}).get(key)
+        holds = holds if path is None else path if holds is None else path & holds
+        out = search(content, key, pattern)
+        if len(patterns) == 1:
+            files = files if holds is None else files.filter(holds)
+        elif holds is not None:
+            out = F.when(holds, out).otherwise(F.array().cast("array<struct<rule_id:string,line_no:int,match:string>>"))
+        found.append(out)
+    hits = files.select("path", F.explode(F.concat(*found) if len(found) > 1 else found[0]).alias("m"))
     return incidents(hits, F.col("m.rule_id"), "path", F.col("m.line_no"), F.create_map(F.lit("matchingText"), F.col("m.match")))
 
 
@@ -101,11 +118,59 @@ def literal(files: DataFrame, rule: str, text: str) -> DataFrame:
     return incidents(hits, F.col("m.rule_id"), "path", F.col("m.line_no"), F.create_map(F.lit("matchingText"), F.col("m.match")))
 
 
+def multiline_grep(files: DataFrame, rule: str, pattern: str, window: int = 3) -> DataFrame:
+    """The first place of each file where ``pattern`` matches in a window of up to ``window`` lines (5 at most), without tabs and outer
+    spaces, joined by line feeds; ``.`` runs over them. The line is the first of that window."""
+    from pyspark.sql.window import Window as W
+
+    window = min(window, 5)
+    numbered = files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+    order = W.partitionBy("path").orderBy("pos").rowsBetween(1 - window, 0)  # one file's lines
+    text = F.array_join(F.collect_list(F.trim(F.replace("line", F.lit("\t"), F.lit("")))).over(order), "\n")
+    hits = numbered.withColumn("text", text).filter(F.col("text").rlike("(?s)" + pattern.replace("(?P<", "(?<")))
+    first = hits.groupBy("path").agg(F.greatest(F.lit(1), F.min("pos") + 2 - window).alias("line_no"))
+    return incidents(first, rule, "path", F.col("line_no"))
+
+
+def element_pattern(content: str) -> str:
+    """A pattern for :func:`multiline_grep` that finds an element by its source: up to five lines, trimmed and quoted, with anything between."""
+    return ".*?".join(rf"\Q{line.strip()}\E" for line in content.strip().split("\n")[:5])
+
+
+def well_formed(content: Column) -> Column:
+    """Whether tags are balanced, by reducing: elements without elements inside are taken away until none is left.
+
+    Comments, sections and instructions go first. A text that is not reduced within 60 levels counts as malformed."""
+    bare = F.regexp_replace(content, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Za-z][^>\[]*(?:\[[^\]]*\])?[^>]*>", "")
+    bare = F.regexp_replace(bare, r"&(?!(?:[A-Za-z][\w.-]*|#\d+|#x[0-9A-Fa-f]+);)", "<bad")
+    tags = F.regexp_extract_all(bare, F.lit(r"<(/?[A-Za-z_][\w:.-]*(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*\s*/?)>"), 1)
+    rest = F.trim(F.regexp_replace(bare, r"<(/?[A-Za-z_][\w:.-]*(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))*\s*/?)>", ""))
+    name = lambda t: F.regexp_extract(t, r"^/?([^\s/]+)", 1)
+    # open elements as a path of names; an end tag must close the last, and an attribute's name stands once
+    step = lambda s, t: (
+        F.when(s.isNull() | t.endswith("/"), s)
+        .when(~t.startswith("/"), F.concat(s, F.lit("<"), name(t)))
+        .when(F.substring_index(s, "<", -1) == name(t), F.call_function("substring_index", s, F.lit("<"), F.size(F.split(s, "<")) - 1))
+    )
+    open_ = F.aggregate(tags, F.lit(""), step)
+    return (F.size(tags) > 0) & ~F.contains(rest, F.lit("<")) & F.coalesce(open_ == "", F.lit(False))
+
+
 def xml(files: DataFrame, rule: str, xpath: str) -> DataFrame:
-    """XPath over well-formed documents: text or attribute nodes; an element's path gets ``/text()``. Variable ``innerText``."""
+    """XPath over XML files: text or attribute nodes; an element's path gets ``/text()``. Variable ``innerText``, and the first line
+    where it stands. Prefixes of namespaces do not count. Files that are not well-formed have no nodes, and stop nothing."""
     path = xpath if "@" in xpath.rsplit("/", 1)[-1] or xpath.endswith("()") else f"{xpath}/text()"
-    hits = files.filter(F.regexp_like("path", F.lit(r"\.x(ht)?ml$"))).select("path", F.explode(F.xpath("content", F.lit(path))).alias("found"))
-    return incidents(hits, rule, "path", None, F.create_map(F.lit("innerText"), T.compact_xml(F.col("found"))))
+    steps = re.sub(r"(^|/|\[|\(|::|@)[A-Za-z_][\w.-]*:(?=[A-Za-z_*])", r"\1", path)
+    plain = F.regexp_replace(F.regexp_replace("content", r"\sxmlns(:[\w.-]+)?\s*=\s*(\"[^\"]*\"|'[^']*')", ""), r"(<\/?|\s)[A-Za-z_][\w.-]*:(?=[A-Za-z_][\w.-]*[\s=>\/])", "$1")
+    plain = F.regexp_replace(plain, r"(?s)<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>", "")  # entities are not read from elsewhere
+    chosen = files.filter(F.regexp_like("path", F.lit(r"(?i)\.(x(ht)?ml|jsp|html?)$"))).withColumn("__xml", F.when(well_formed(F.col("content")), plain))
+    hits = chosen.select("path", "content", F.explode(F.when(F.col("__xml").isNotNull(), F.xpath(F.coalesce("__xml", F.lit("<none/>")), F.lit(steps)))).alias("found"))
+    head = F.substring_index(F.trim("found"), "\n", 1)
+    at = F.call_function("locate", head, F.col("content"))
+    before = F.substring(F.col("content"), F.lit(1), F.greatest(at - 1, F.lit(0)))
+    line = F.when(at > 0, F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1)
+    variables = F.create_map(F.lit("innerText"), T.compact_xml(F.col("found")))
+    return incidents(hits, rule, "path", line, variables)
 
 
 def attribute(files: DataFrame, rule: str, name: str, regex: str) -> DataFrame:
@@ -115,18 +180,26 @@ def attribute(files: DataFrame, rule: str, name: str, regex: str) -> DataFrame:
     return incidents(hits, rule, "path", None, F.create_map(F.lit("matchingXML"), F.col("value")))
 
 
-def json(files: DataFrame, rule: str, path: str) -> DataFrame:
-    """``/a/b`` from the root, ``//key`` at the top level or one below it. Variable ``matchingJSON``."""
+def json(files: DataFrame, rule: str, path: str, most_levels: int = 12) -> DataFrame:
+    """``/a/b`` from the root, also through arrays; ``//key`` at any depth down to ``most_levels``. Variable ``matchingJSON``. What is no
+    JSON has no nodes."""
+    tree = files.select("path", F.try_parse_json("content").alias("node")).filter("node is not null")
+    text = lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
     if path.startswith("//"):
-        key = path[2:]
-        tree = F.from_json("content", "map<string,string>")
-        values = F.array(F.get_json_object("content", f"$.{key}"))
-        below = F.transform(F.map_values(tree), lambda v: F.when(v.startswith("{"), F.call_function("get_json_object", v, F.lit(f"$.{key}"))))
-        values = F.filter(F.concat(values, F.coalesce(below, F.array().cast("array<string>"))), lambda v: v.isNotNull())
-        hits = files.select("path", F.explode(values).alias("value"))
+        found, level = None, tree
+        for _ in range(most_levels):
+            level = level.select("path", "node").lateralJoin(tree.sparkSession.tvf.variant_explode(F.col("node").outer())).select("path", "key", F.col("value").alias("node"))
+            hits = level.filter(F.col("key") == path[2:]).select("path", text(F.col("node")).alias("value"))
+            found = hits if found is None else found.unionAll(hits)
+            level = level.filter(F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)"))
+        hits = found
     else:
-        hits = files.select("path", F.get_json_object("content", "$" + path.replace("/", ".")).alias("value")).filter("value is not null")
-    return incidents(hits, rule, "path", None, F.create_map(F.lit("matchingJSON"), F.col("value")))
+        level = tree
+        for key in path.strip("/").split("/"):
+            items = level.lateralJoin(tree.sparkSession.tvf.variant_explode(F.col("node").outer())).select("path", "pos", "key", F.col("value").alias("node"))
+            level = items.filter(F.col("key") == key).select("path", "node")
+        hits = level.select("path", text(F.col("node")).alias("value"))
+    return incidents(hits.filter("value is not null"), rule, "path", None, F.create_map(F.lit("matchingJSON"), F.col("value")))
 
 
 def has_tags(tags: DataFrame, rule: str, wanted: list[str], key: str | None = None) -> DataFrame:
@@ -173,10 +246,10 @@ def dependency(deps: DataFrame, rule: str, name: str | None = None, name_regex:
 def referenced(symbols: DataFrame, rule: str, pattern: str, location: str | None = None, annotated: tuple[str, dict[str, str]] | None = None, files: DataFrame | None = None) -> DataFrame:
     """Symbols by type pattern and location; ``annotated``: an annotation's pattern and element name -> value regex; ``files``: only
     symbols of these paths. An import counts only for whole modules."""
-    hits = symbols.filter(F.col("name").rlike(T.type_pattern(pattern)))
+    hits, location = symbols.filter(F.col("name").rlike(T.type_pattern(pattern))), known_location(location)
     if location:
-        hits = hits.filter(F.col("location") == location.upper())
-        if location.upper() == "IMPORT":
+        hits = hits.filter(F.col("location") == location)
+        if location == "IMPORT":
             hits = hits.filter(F.col("kind") == "Module")
     if annotated:
         wanted, elements = annotated
@@ -204,6 +277,14 @@ def references(declarations: DataFrame, refs: DataFrame, rule: str, pattern: str
     return incidents(hits.dropDuplicates(["uri", "line"]), rule, "uri", F.col("line") + 1, F.create_map(F.lit("file"), F.col("uri")))
 
 
+def scoped_references(declarations: DataFrame, refs: DataFrame, rule: str, pattern: str, workspace: str, dependency_dirs: list[str]) -> DataFrame:
+    """References by ``package/scope#name``: only declarations count whose URI holds ``package/scope``; without ``#`` the whole pattern is
+    the name, and any declaration counts."""
+    scope, mark, name = pattern.rpartition("#")
+    wanted = declarations.filter(F.contains("uri", F.lit(scope))) if mark and scope else declarations
+    return references(wanted, refs, rule, name, workspace, dependency_dirs)
+
+
 def innermost_symbol(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each ``points(uri, line)``, the name of the shortest symbol range around it; points in no range have null.
 

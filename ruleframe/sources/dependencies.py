@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -33,10 +35,12 @@ def go_module(text: Column) -> Column:
 
 
 def tree_parents(rows: DataFrame, key: str, order: str, depth: str, node: str) -> DataFrame:
-    """Adds ``parent``: the last node above that is one level higher. ``key`` is one listing, which fits in a task."""
-    before = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    path = F.filter(F.collect_list(F.struct(F.col(depth).alias("d"), F.col(node).alias("x"))).over(before), lambda e: e["d"] == F.col(depth) - 1)
-    return rows.withColumn("parent", F.when(F.col(depth) > 0, F.element_at(F.transform(path, lambda e: e["x"]), -1)))
+    """Adds ``parent``: the last node above that is one level higher. Every row stands at its own level as a possible parent and at the
+    level above as one that seeks; within a level the last parent before a row is its own."""
+    both = rows.withColumn("__seeks", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("__level", F.col(depth) - F.col("__seeks").cast("int"))
+    before = W.partitionBy(key, "__level").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    above = F.last(F.when(~F.col("__seeks"), F.col(node)), ignorenulls=True).over(before)
+    return both.withColumn("parent", F.when(F.col(depth) > 0, above)).filter("__seeks").drop("__seeks", "__level")
 
 
 def pom_dependencies(files: DataFrame) -> DataFrame:
@@ -77,7 +81,8 @@ def maven_listing(lines_: DataFrame) -> DataFrame:
 
 def gradle_listing(lines_: DataFrame) -> DataFrame:
     """``(path, line_no, depth, name, version, parent)`` from lines such as ``|    +--- a:b:1 -> 2``; five characters a level.
-    Lines that only repeat a part or could not be resolved keep their place."""
+    Lines that repeat a part, could not be resolved or are constraints, marked (*), (n), (c) at their end, are no dependencies."""
+    lines_ = lines_.filter(~F.col("line").rlike(r"\((n|c|\*)\)\s*$"))
     rows = lines_.select("path", "line_no", F.regexp_extract("line", r"^((?:[|\s]\s{4})*[+\\]---\s)", 1).alias("marks"), "line").filter("marks <> ''")
     rows = rows.withColumn("depth", F.floor(F.length("marks") / 5).cast("int") - 1)
     rows = rows.select("path", "line_no", "depth", gradle_coordinate(F.expr("substring(line, length(marks) + 1)")).alias("c")).select("path", "line_no", "depth", "c.*")
@@ -113,3 +118,20 @@ def build_tool(names: set[str]) -> str | None:
     if any(x.endswith((".jar", ".war", ".ear")) for x in names):
         return "binary"
     return "maven" if "pom.xml" in names else None
+
+
+def complete_artifacts(artifacts: DataFrame) -> DataFrame:
+    """Artifacts with group, name and version, each once with its packaging."""
+    keys = ["group", "artifact", "version", "packaging"]
+    named = artifacts.filter(" and ".join(f"coalesce({k}, '') <> ''" for k in keys[:3]))
+    return named.dropDuplicates(keys)
+
+
+def label_patterns(lines_: list[str], label: str, known: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+    """A pattern a line, with the labels it gives; a pattern that is known gets the label too. A bad pattern is an error."""
+    out = {p: list(labels) for p, labels in (known or {}).items()}
+    for pattern in lines_:
+        re.compile(pattern)
+        if label not in out.setdefault(pattern, []):
+            out[pattern].append(label)
+    return out

@@ -34,6 +34,23 @@ PATTERNS |= {"tsx": PATTERNS["ts"], "js": PATTERNS["ts"], "jsx": PATTERNS["ts"]}
 LANGUAGES = {"java": "java", "py": "python", "go": "go", "ts": "typescript", "tsx": "typescriptreact", "js": "javascript", "jsx": "javascriptreact", "cs": "csharp", "rs": "rust", "xml": "xml", "json": "json", "yaml": "yaml", "yml": "yaml"}
 
 
+# The names of symbol kinds 1 to 26 of the language server protocol, and the locations of a symbol.
+KINDS = ("File", "Module", "Namespace", "Package", "Class", "Method", "Property", "Field", "Constructor", "Enum", "Interface", "Function", "Variable", "Constant", "String", "Number", "Boolean", "Array", "Object", "Key", "Null", "EnumMember", "Struct", "Event", "Operator", "TypeParameter")
+LOCATIONS = ("INHERITANCE", "METHOD_CALL", "CONSTRUCTOR_CALL", "ANNOTATION", "IMPLEMENTS_TYPE", "ENUM", "RETURN_TYPE", "IMPORT", "VARIABLE_DECLARATION", "TYPE", "PACKAGE", "FIELD", "METHOD", "CLASS")
+
+
+def kind_name(number: Column) -> Column:
+    """The name of a kind; no name for other numbers."""
+    return F.coalesce(F.get(F.array(*map(F.lit, KINDS)), number - 1), F.lit(""))
+
+
+def known_location(name: str | None) -> str | None:
+    """A location in capitals; None, which is any, for an unknown one. A field's declaration is the field."""
+    name = (name or "").upper()
+    name = "FIELD" if name == "FIELD_DECLARATION" else name
+    return name if name in LOCATIONS else None
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 

@@ -62,9 +62,14 @@ def metrics(events: DataFrame, keys: list[str], value: str, ts: str, bounds: lis
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.max_by(value, ts).alias("latest"), buckets.alias("buckets"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
+def escaped(value: Column) -> Column:
+    """A label's value with back slashes, quotes and line feeds escaped."""
+    return F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
 def prometheus(rows: DataFrame, name: str, keys: list[str], value: str) -> DataFrame:
     """Metric rows in text exposition form."""
-    labels = F.concat_ws(",", *(F.concat(F.lit(k + '="'), F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit('"')) for k in keys))
+    labels = F.concat_ws(",", *(F.concat(F.lit(k + '="'), escaped(F.coalesce(F.col(k).cast("string"), F.lit(""))), F.lit('"')) for k in keys))
     return rows.select(F.concat(F.lit(name + "{"), labels, F.lit("} "), F.col(value).cast("string")).alias("line"))
 
 
