@@ -14,6 +14,7 @@ import html
 import itertools
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,18 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import Scratch
+from ruleframe.llm.common import Scratch, in_slices, tidy
 
 # Element names of the HTML standard.
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "select", "button")
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "select", "button")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr")
+INLINE = ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "msub", "msup", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr")
 SITE = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "head")
 MAIN = ("article", "main")
 #: Words of class, id and role that mark what is not the article.
 MARKS = ("ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "header", "footer", "masthead", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "comment", "comments", "respond", "disqus", "share", "social", "related", "widget", "pagination", "pager", "search", "login", "complementary", "contentinfo")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Last words of names such as share-buttons, which are marks by their first word; in other names the last word decides.
+CONTAINERS = ("area", "bar", "block", "body", "box", "button", "buttons", "container", "content", "form", "header", "icons", "inner", "item", "items", "link", "links", "list", "message", "outer", "panel", "policy", "row", "section", "slot", "text", "title", "top", "bottom", "left", "right", "unit", "wrap", "wrapper")
+
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PART = re.compile(r"[^a-z0-9]+")
@@ -41,10 +45,51 @@ ADDRESS = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://|[?#].*$")
 KEY = ["host", "path", "url", "page_id", "hash"]
 
 
+def is_mark(name: str) -> bool:
+    """A class, id or role that marks what is not the article: its last word does, or its first one before a container's name. Words in
+    the middle say nothing: a post-share-enabled block may be the post."""
+    parts = [x for x in PART.split(name.lower()) if x and not x.isdigit()]
+    return bool(parts) and (parts[-1] in MARKS or (len(parts) == 2 and parts[0] in MARKS and parts[1] in CONTAINERS))
+
+
 def marked(attributes: str) -> bool:
     if HIDDEN.search(attributes):
         return True
-    return any(part in MARKS for m in NAMED.findall(attributes) for part in PART.split("".join(m).lower()))
+    return any(is_mark(name) for m in NAMED.findall(attributes) for name in "".join(m).split())
+
+
+def tags_in(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of every tag; comments and declarations have no name. Each character is looked at a
+    bounded number of times: after one quote that nothing closes, tags end at the next ``>`` whatever is quoted."""
+    at, broken = 0, False
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = len(source) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        if source.startswith(("<!", "<?"), start):
+            end = source.find(">", start)
+            at = len(source) if end < 0 else end + 1
+            yield start, at, "", False, ""
+            continue
+        if (m := NAME.match(source, start)) is None:
+            at = start + 1
+            continue
+        end = first = source.find(">", m.end())
+        if first < 0:
+            return  # no tag ends after this
+        quotes, seen = [0, 0], m.end()
+        while not broken:
+            quotes = [q + source.count(c, seen, end) for q, c in zip(quotes, "\"'", strict=True)]
+            if quotes[0] % 2 == 0 and (quotes[1] % 2 == 0 or quotes[0]):
+                break
+            seen, end = end, source.find(">", end + 1)
+            if end < 0:
+                broken = True
+        end = first if broken else end
+        at = end + 1
+        yield start, at, m[1].lower(), source[start + 1] == "/", source[m.end() : end]
 
 
 def page_lines(source: str) -> list[tuple[str, bool]]:
@@ -53,6 +98,8 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
     text: list[str] = []
     open_tags: list[tuple[str, bool, bool]] = []  # name, drops its content, is a main region
     dropping = main = at = 0
+    endless: set[str] = set()
+    opened: Counter = Counter()
 
     def end_line() -> None:
         if text:
@@ -60,72 +107,81 @@ def page_lines(source: str) -> list[tuple[str, bool]]:
                 out.append((line, main > 0))
             text.clear()
 
-    n = len(source)
-    while at < n:
-        m = TOKEN.search(source, at)
-        if not dropping and (m is None or m.start() > at):
-            text.append(source[at : m.start() if m else n])
-        if m is None:
-            break
-        at = m.end()
-        if not m[2]:
+    for start, end, name, closing, attributes in tags_in(source):
+        if start < at:
+            continue  # inside an element whose content is no markup
+        if not dropping and start > at:
+            text.append(source[at:start])
+        at = end
+        if not name:
             continue
-        name, closing = m[2].lower(), bool(m[1])
         if name not in INLINE:
             end_line()
         if closing:
-            if any(t[0] == name for t in open_tags):
+            if opened[name]:
                 while open_tags:
                     top, drops, region = open_tags.pop()
+                    opened[top] -= 1
                     dropping, main = dropping - drops, main - region
                     if top == name:
                         break
             continue
         if name in RAW:
-            end = CLOSES[name].search(source, at)
-            if end:
-                at = end.end()
-            elif name in ("script", "style", "textarea", "title"):
-                at = n
+            close = CLOSES[name].search(source, at) if name not in endless else None
+            if close:
+                at = close.end()
+            else:
+                endless.add(name)  # none follows
+                if name in ("script", "style", "textarea", "title"):
+                    at = len(source)
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        if name == "p":  # a new paragraph ends an open one
+        if name == "p" and opened["p"]:  # a new paragraph ends an open one
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == "p":
-                    for _, drops, region in open_tags[k:]:
+                    for top, drops, region in open_tags[k:]:
+                        opened[top] -= 1
                         dropping, main = dropping - drops, main - region
                     del open_tags[k:]
                     break
                 if open_tags[k][0] not in INLINE:
                     break
         region = name in MAIN and not dropping
-        drops = (name in SITE and not (name == "header" and main)) or (name not in ("html", "body", *MAIN) and marked(m[3]))
+        drops = (name in SITE and not (name == "header" and main)) or (name not in ("html", "body", *MAIN) and marked(attributes))
         open_tags.append((name, drops, region))
+        opened[name] += 1
         dropping, main = dropping + drops, main + region
+    if not dropping and at < len(source):
+        text.append(source[at:])
     end_line()
     return out
 
 
+def subsequence_lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each beginning of ``y``, the length of its longest common subsequence with ``x``."""
+    row = np.zeros(len(y) + 1, dtype=np.int32)
+    for v in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == v, row[:-1] + 1, 0)))
+    return row
+
+
 def shared_lines(a: list[str], b: list[str]) -> list[bool]:
-    """Which lines of ``a`` are in a longest common subsequence with ``b``."""
-    common = {*a} & {*b}
-    i, j = ([k for k, x in enumerate(s) if x in common] for s in (a, b))
-    keep = [False] * len(a)
-    code = {x: k for k, x in enumerate(common)}
-    y = np.array([code[b[k]] for k in j], dtype=np.int64)
-    rows = [np.zeros(len(y) + 1, dtype=np.int32)]
-    for k in i:
-        last = rows[-1]
-        rows.append(np.concatenate([[0], np.maximum.accumulate(np.maximum(last[1:], np.where(y == code[a[k]], last[:-1] + 1, 0)))]))
-    r, c = len(i), len(y)
-    while r and c:
-        if a[i[r - 1]] == b[j[c - 1]] and rows[r][c] == rows[r - 1][c - 1] + 1:
-            keep[i[r - 1]], r, c = True, r - 1, c - 1
-        elif rows[r - 1][c] >= rows[r][c - 1]:
-            r -= 1
-        else:
-            c -= 1
+    """Which lines of ``a`` are in a longest common subsequence with ``b``. Memory is linear: halves of ``a`` are aligned on their own."""
+    code = {x: k for k, x in enumerate({*a} & {*b})}
+    i = [k for k, x in enumerate(a) if x in code]
+    x, y = (np.array([code[v] for v in s if v in code], dtype=np.int64) for s in (a, b))
+    keep, todo = [False] * len(a), [(0, len(x), 0, len(y))]
+    while todo:
+        lo, hi, from_, to = todo.pop()
+        if lo == hi or from_ == to:
+            continue
+        if hi - lo == 1:
+            keep[i[lo]] = bool((y[from_:to] == x[lo]).any())
+            continue
+        middle = (lo + hi) // 2
+        cut = int(np.argmax(subsequence_lengths(x[lo:middle], y[from_:to]) + subsequence_lengths(x[middle:hi][::-1], y[from_:to][::-1])[::-1]))
+        todo += [(lo, middle, from_, from_ + cut), (middle, hi, from_ + cut, to)]
     return keep
 
 
@@ -152,12 +208,12 @@ def places(pages: DataFrame) -> DataFrame:
     """``(host, path, url, page_id, hash)`` of every page; ``hash`` is that of its lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "html"):
             rows = [key for key, _, _ in parsed(batch)]
             columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), batch.column(1), batch.column(0), pa.array([r[4] for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "url", "page_id", "hash"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"host string, path string, url string, page_id {dict(pages.dtypes)['page_id']}, hash binary")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), f"host string, path string, url string, page_id {dict(pages.dtypes)['page_id']}, hash binary")
 
 
 def ends_of_ranges(keys: DataFrame, cuts) -> list[tuple[int, list[tuple]]]:
@@ -254,7 +310,7 @@ def main_text(pages: DataFrame, scratch: Scratch, group_pages: int = 256) -> Dat
     copies = spark.sparkContext.broadcast(copies_of(ends_of_ranges(keys, cuts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "html"):
             rows = []
             for key, lines, main in parsed(batch):
                 rows.append((*key, lines, main, bisect_right(cuts.value, in_order(*key)), False))
@@ -265,7 +321,7 @@ def main_text(pages: DataFrame, scratch: Scratch, group_pages: int = 256) -> Dat
         return [pa.string(), pa.string(), pa.string(), batch.schema.field(0).type, pa.binary(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.int32(), pa.bool_()]
 
     kind = dict(pages.dtypes)["page_id"]
-    dealt = pages.select("page_id", "url", "html").mapInArrow(run, f"host string, path string, url string, page_id {kind}, hash binary, lines array<string>, main array<boolean>, part int, copied boolean")
+    dealt = pages.select("page_id", "url", "html").mapInArrow(tidy(run), f"host string, path string, url string, page_id {kind}, hash binary, lines array<string>, main array<boolean>, part int, copied boolean")
     out = dealt.groupBy("part").applyInArrow(difference, f"page_id {kind}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 

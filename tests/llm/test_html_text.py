@@ -1,6 +1,8 @@
 import random
 import re
 
+import time
+
 import pytest
 
 from ruleframe.llm import html_text, queries
@@ -113,3 +115,23 @@ def test_query_over_the_table(spark, small):
         title = re.search(r"<title>(.*?)</title>", pages[r["page_id"]]["html"] or "")
         assert not re.search(r"<p>|track\(\d+\)|&copy;", r["text"])
         assert r["n_chars"] == len(r["text"]) and (title is None or r["text"])
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<p>", "<b>", "<!-- ", "<script>", "</p>"])
+def test_time_grows_with_the_page(piece):
+    began = time.perf_counter()
+    html_text.page_lines(piece * 60_000 + "> end")
+    assert time.perf_counter() - began < 10
+
+
+def test_names_that_only_hold_a_mark_keep_their_text():
+    kept = '<div class="post-share-enabled"><p>Body</p></div><div class="entry notice-board">Two</div>'
+    assert [x for x, _ in html_text.page_lines(kept)] == ["Body", "Two"]
+    gone = '<div class="cookie-banner">a</div><div class="share-buttons">b</div><p class="site-nav">c</p><div id="comments">d</div>'
+    assert html_text.page_lines(gone) == []
+    assert html_text.page_lines('<a title="a>b" href=x>yes</a> <i title=\'q"\'>z</i> <math><mi>x</mi></math>') == [("yes z x", False)]
+
+
+def test_alignment_of_many_equal_lines():
+    a, b = ["x"] * 3_000 + ["own"], ["y", *["x"] * 2_500]
+    assert sum(html_text.shared_lines(a, b)) == 2_500 and not html_text.shared_lines(a, b)[-1]
