@@ -30,7 +30,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ruleframe-stages"
-        self.spark, self.dir = spark, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.label, self.dir = spark, label, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.dir}/{name}"

@@ -11,13 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import Scratch, components
+from ruleframe.llm.common import Scratch, components, tidy
 
 
 @dataclass(frozen=True)
@@ -127,23 +128,23 @@ def links_of_cells(rows: DataFrame, lists: Lists, cosine: float) -> DataFrame:
         if last := flush():
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in last[0]], names=names)
 
-    return rows.mapInArrow(run, "id long, root long, links long")
+    return rows.mapInArrow(tidy(run), "id long, root long, links long")
 
 
-def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, recall: float = 0.97, block_rows: int = 1_000) -> DataFrame:
-    """One row per row of ``vectors(vec_id, embedding)``: ``vec_id, n_links, component_id, kept``.
+#: Lengths of vectors in one table: models have one, tables of several models a few.
+MOST_LENGTHS = 64
 
-    Two vectors link when their cosine in double precision is at least ``cosine`` and their pair is found; a pair at exactly
-    ``cosine`` is found with probability ``recall`` or more, a closer one nearly always. Equal arrays stand for one another
-    and always link. Vectors that are null, empty, zero, hold null or non-finite components, or have another length than the
-    most frequent one link with nothing. Rows with a null vec_id link with nothing. No rows give no rows.
-    """
-    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    good = F.col("vec_id").isNotNull() & F.coalesce((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    rows = scratch.keep(vectors.select("vec_id", F.when(good, F.col("embedding")).alias("embedding")), "rows")
-    lengths = rows.filter("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = lengths[0]["d"] if lengths else 0
-    usable = rows.filter(F.size("embedding") == dims)
+
+def lengths_of(rows: DataFrame) -> list[int]:
+    """The lengths that occur, each of which is a set of its own; beyond ``MOST_LENGTHS`` it is an error rather than a result without some."""
+    out = [r["d"] for r in rows.filter("embedding is not null").select(F.size("embedding").alias("d")).distinct().orderBy("d").limit(MOST_LENGTHS + 1).collect()]
+    if len(out) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    return out
+
+
+def near_of_length(usable: DataFrame, scratch: Scratch, cosine: float, recall: float, block_rows: int) -> DataFrame:
+    """``(vec_id, n_links, component_id)`` of vectors of one length without nulls."""
     same = scratch.keep(usable.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("size")), "classes")
     lists = calibrate(same.count(), cosine, recall)
 
@@ -153,7 +154,7 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, rec
             cells, _ = lists.project(x / np.sqrt((x * x).sum(1))[:, None])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), lists.lists).cast(pa.list_(pa.int64()))], names=["id", "cells"])
 
-    cells = same.select("id", "size", "embedding").mapInArrow(spread, "id long, cells array<long>")
+    cells = same.select("id", "size", "embedding").mapInArrow(tidy(spread), "id long, cells array<long>")
     cells = scratch.keep(cells.select("id", F.posexplode("cells").alias("list", "cell")), "cells")
     full = cells.groupBy("list", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # a cell beyond a block is compared block by block: each vector goes to the pairs of its own block with every other
@@ -167,9 +168,24 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, rec
     near = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")), scratch, "components")
     known = same.join(near, "id", "left").join(groups, "id", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = usable.join(known, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.filter(F.col("embedding").isNull() | (F.size("embedding") != dims)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = linked.unionAll(alone)
+    return usable.join(known, "embedding").select("vec_id", "n_links", "component_id")
+
+
+def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, recall: float = 0.97, block_rows: int = 1_000) -> DataFrame:
+    """One row per row of ``vectors(vec_id, embedding)``: ``vec_id, n_links, component_id, kept``.
+
+    Two vectors link when their cosine in double precision is at least ``cosine`` and their pair is found; a pair at exactly
+    ``cosine`` is found with probability ``recall`` or more, a closer one nearly always. Equal arrays stand for one another
+    and always link. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors of
+    different lengths do not link. Rows with a null vec_id link with nothing. No rows give no rows; other columns are not read.
+    """
+    spark = vectors.sparkSession
+    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    good = F.col("vec_id").isNotNull() & F.coalesce((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
+    rows = scratch.keep(vectors.select("vec_id", F.when(good, F.col("embedding")).alias("embedding")), "rows")
+    found = [near_of_length(rows.filter(F.size("embedding") == d), Scratch(spark, f"{scratch.label}-{d}"), cosine, recall, block_rows) for d in lengths_of(rows)]
+    alone = rows.filter("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = reduce(DataFrame.unionAll, [*found, alone])
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

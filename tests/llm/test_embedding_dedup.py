@@ -52,6 +52,8 @@ def check(rows, out, recall=0.97):
     assert got >= recall * total
     same = sum(r["component_id"] == component.get(r["vec_id"], r["vec_id"]) for r in out)
     assert same >= recall * len(out)
+    if got == total:  # no link is missing, and so no component may be wrong
+        assert same == len(out)
 
 
 def clustered(rng, n, dims=32):
@@ -100,6 +102,28 @@ def test_components_are_those_of_the_links_found(spark):
         assert {k: out[k]["component_id"] for k in [*leaves, centre]} == {k: min(near) if k in near or (k == centre and near) else k for k in [*leaves, centre]}
 
 
+@pytest.mark.parametrize("cosine", [0.9501, 0.96, 0.97])
+def test_recall_of_planted_pairs(spark, cosine):
+    """400 pairs at one cosine among as many vectors that are near nothing."""
+    rng = np.random.default_rng(int(cosine * 1e4))
+    rows = []
+    for k in range(400):
+        a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+        rows += [(2 * k, (3 * a).tolist()), (2 * k + 1, (cosine * a + np.sqrt(1 - cosine**2) * b).tolist()), (10_000 + k, rng.standard_normal(64).tolist())]
+    out = found(spark, rows)
+    linked = sum(r["n_links"] for r in out) / 800
+    print(f"recall at {cosine}: {linked:.4f}")
+    assert linked >= 0.95
+
+
+def test_vectors_of_every_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, v) for k, (_, v) in enumerate(clustered(rng, 120, 16) + clustered(rng, 60, 8) + clustered(rng, 7, 3))]
+    out = {r["vec_id"]: r for r in found(spark, rows)}
+    for part in (rows[:120], rows[120:180], rows[180:]):
+        check(part, [out[k] for k, _ in part], 0.9)
+
+
 def test_unusable_vectors_link_with_nothing(spark):
     good = [1.0, 2.0, 3.0]
     rows = [(1, good), (2, good), (3, None), (4, [0.0, 0.0, 0.0]), (5, [1.0, None, 3.0]), (6, [1.0, float("nan"), 3.0]), (7, [float("inf"), 2.0, 3.0]), (8, []), (9, [2.0, 4.0, 6.0]), (10, [-1.0, -2.0, -3.0]), (None, good), (2, good)]
