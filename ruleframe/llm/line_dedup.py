@@ -153,7 +153,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int = 2, min_chars:
 
     A line goes when an equal line, or one within ``edits``, stands before it in order of (doc_id, text's hash, line number)."""
     near = near_line_pairs(docs, scratch, edits, min_chars)
-    lines = scratch.keep(lines_of(docs, min_chars).select("doc_id", "text_hash", "place", "h1", "h2"), "lines")
+    lines = scratch.keep(lines_of(docs, 1).select("doc_id", "text_hash", "place", "h1", "h2"), "lines")
     spot = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "place")
     firsts = lines.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n"))
     a, b = (firsts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("first").alias(f"{x}_first")) for x in "ab")
@@ -169,8 +169,10 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, edits: int = 2, min_chars:
 def dedup_lines(docs: DataFrame, scratch: Scratch, edits: int = 2, min_chars: int = 20) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, and ``lines_gone``: how many.
 
-    Compared are lines (between line feeds, outer white space trimmed) of at least ``min_chars`` characters; shorter ones stay.
-    A line goes when an equal one or one within ``edits`` stands before it, in any document; the first of its kind stays. A null
+    Compared are lines between line feeds, outer white space trimmed. A line of at least ``min_chars`` characters goes when an equal one or
+    one within ``edits`` stands before it, in any document; a shorter one only when an equal one does, as two edits can make another word
+    of it; empty lines stay. A line can go because of one that goes itself: of "report 10", "report 12", "report 1234" with two edits each
+    from one to the next, only the first stays. A null
     text stays null; a text may become empty. Rows that repeat doc_id and text are one document and get the same text. All
     columns of ``docs`` are kept; ``lines_gone`` replaces a column of that name. No rows give no rows.
     """

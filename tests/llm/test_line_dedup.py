@@ -23,14 +23,14 @@ def brute(spark, rows, edits, least):
     df = spark.createDataFrame([(d, t) for d, t, *_ in rows], "doc_id long, text string").withColumn("h", F.xxhash64("text"))
     docs = sorted({(r["doc_id"], r["text"], r["h"]) for r in df.collect() if r["text"] is not None}, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
     lines = [(d, t, k, x.strip(" ")) for d, t, _ in docs for k, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[3]) >= least]
+    lines = [x for x in lines if x[3]]
     gone, seen = {}, []
     # |histogram difference| <= 2 * distance: lines beyond that need no table
     distinct = {x: np.bincount([ord(c) % 64 for c in x], minlength=64) for x in {line for *_, line in lines}}
     histograms = np.zeros((len(distinct) + 1, 64), dtype=np.int64)
     for d, t, k, line in lines:
         near = np.flatnonzero(np.abs(histograms[: len(seen)] - distinct[line]).sum(1) <= 2 * edits)
-        if any(line == seen[j] or (abs(len(line) - len(seen[j])) <= edits and distance(line, seen[j]) <= edits) for j in near):
+        if any(line == seen[j] or (min(len(line), len(seen[j])) >= least and abs(len(line) - len(seen[j])) <= edits and distance(line, seen[j]) <= edits) for j in near):
             gone.setdefault((d, t), set()).add(k)
         if not any(line == seen[j] for j in near):
             histograms[len(seen)] = distinct[line]
@@ -108,3 +108,8 @@ def test_query_over_the_table(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     out = {r["doc_id"]: r for r in queries.QUERIES["op1_line_dedup"](spark, small).collect()}
     assert {*out} == {r["doc_id"] for r in docs} and sum(r["lines_gone"] for r in out.values()) > 0
+
+
+def test_short_lines_go_only_as_copies(spark):
+    rows = [(1, "Share\n\nnext"), (2, "Share\nShore\n\n next "), (3, "text")]
+    assert [(r[1], r[2]) for r in found(spark, rows)] == [("Share\n\nnext", 0), ("Shore\n", 2), ("text", 0)]
