@@ -23,12 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to a Python worker at once. Texts can be long, and Spark's own 10,000 rows of them are held three times: by the JVM, in
+#: Arrow's buffers and by the worker.
+BATCH_ROWS = 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables in the folder that the cluster shares (``spark.checkpoint.dir``): they cut lineage and survive lost executors.
 
     Where that is unset, tables go below the warehouse, which a cluster shares as well; never to a folder of the driver's own."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/ruleframe-stages"
         self.spark, self.label, self.dir = spark, label, f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleframe.llm.common import in_slices, tidy
+from ruleframe.llm.common import bound_batches, in_slices, tidy
 
 #: All byte values are symbols of their own.
 SYMBOLS = 256
@@ -24,7 +24,7 @@ PLACES = np.where(np.arange(SYMBOLS) == 0, ord("A"), np.arange(SYMBOLS))
 #: The longest code of a byte.
 LONGEST = -np.log(1e-12)
 #: Rows of a language that its model is fitted on, about and at most in the mean; a language of fewer rows gives all.
-SAMPLE = 2_000
+SAMPLE = 1_000
 
 
 def grams(symbols: np.ndarray, order: int) -> np.ndarray:
@@ -114,6 +114,7 @@ def fit(rows: DataFrame, order: int = 4, sample: int = SAMPLE) -> tuple[list[str
     """``rows(text, lang)`` without nulls -> all languages in order, symbols of the bytes, code lengths by gram and language.
 
     What reaches the driver is one count per language and gram that occurs in its ``sample`` rows."""
+    bound_batches(rows.sparkSession)
     langs, rows = some_of_each(rows, sample)
     symbols, place = PLACES, {x: k for k, x in enumerate(langs)}
 
