@@ -29,6 +29,8 @@ OTHER = (1 << 16) - 1
 HOT_RANK, HOT_PARTS = 256, 64
 #: In a row of classes: a word whose class a join brings.
 PENDING = 255
+#: Tasks of a round of the exchange, at most.
+TASKS = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -212,7 +214,7 @@ class Exchange:
 
     def __init__(self, table: DataFrame, counts: np.ndarray, classes: int):
         # a bounded number of words with a bounded number of neighbours: a bounded number of tasks, each with a class matrix
-        self.table, self.classes, self.words = table.coalesce(64), classes, len(counts)
+        self.table, self.classes, self.words = table.coalesce(TASKS), classes, len(counts)
         self.of = np.full(OTHER + 1, classes, dtype=np.uint8)
         self.of[: self.words] = np.arange(self.words) % classes
         self.from_other = np.zeros(OTHER + 1, dtype=np.int64)
@@ -242,11 +244,10 @@ class Exchange:
                 word, other, n = x.pairs("after")
                 code = place.value[x.words[word]].astype(np.int64) * wide + place.value[other]
                 total += np.bincount(code, weights=n, minlength=wide * wide).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
-        out = np.zeros(wide * wide)
-        for r in self.table.select("word", "after", "n_after").mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():  # wide ** 2 rows at most
-            out[r["code"]] = r["n"]
+        found = self.table.select("word", "after", "n_after").mapInArrow(tidy(run), "counts binary").toArrow()  # a matrix for each of 64 tasks at most
+        out = sum((np.frombuffer(x, dtype=np.int64) for x in found.column(0).to_pylist()), np.zeros(wide * wide))
         out = out.reshape(wide, wide)
         out[self.classes] = np.bincount(of, weights=self.from_other, minlength=wide)[:wide]
         return out
