@@ -9,7 +9,8 @@ from tests.compare import assert_same
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_matches_sql(spark, small, name):
     df = catalogue.QUERIES[name](spark, small)
-    assert not df.isEmpty()  # a query without rows shows nothing
+    if df.isEmpty():  # a query without rows shows nothing: two have some in larger tables only
+        assert not catalogue.QUERIES[name](spark, small.replace("sf0.001", "sf0.01")).isEmpty()
     if name in catalogue.SQL:
         assert_same(df, catalogue.SQL[name], small)
     else:
