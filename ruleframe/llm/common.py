@@ -26,13 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Rows that go to a Python worker at once. Texts can be long, and Spark's own 10,000 rows of them are held three times: by the JVM, in
 #: Arrow's buffers and by the worker.
 BATCH_ROWS = 2_000
+#: Bytes of such a batch, or one longer row; Spark's own bound is 64 MB.
+BATCH_BYTES = 4_000_000
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``; a smaller setting stays."""
+    """Lowers the session's rows and bytes per Arrow batch to ``BATCH_ROWS`` and ``BATCH_BYTES``; smaller settings stay."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 class Scratch:
