@@ -94,6 +94,33 @@ class CodeLengths:
         return np.minimum(out, np.float32(LONGEST))
 
 
+class Remembered:
+    """Rows of ``table`` for sorted distinct grams; those of grams met before are remembered, up to ``most`` values."""
+
+    def __init__(self, table: CodeLengths, most: int = 1 << 21):
+        self.table, self.most = table, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.codes, self.rows = np.zeros(0, dtype=np.int64), np.zeros((0, self.table.languages), dtype=np.float32)
+
+    def new(self, known: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.ones(len(known), dtype=bool)
+        return self.codes[np.minimum(np.searchsorted(self.codes, known), len(self.codes) - 1)] != known
+
+    def __getitem__(self, known: np.ndarray) -> np.ndarray:
+        new = self.new(known)
+        if (len(self.codes) + int(new.sum())) * self.table.languages > self.most:
+            self.forget()
+            new = self.new(known)
+        if new.any():
+            codes = np.concatenate([self.codes, known[new]])
+            order = np.argsort(codes, kind="stable")
+            self.codes, self.rows = codes[order], np.concatenate([self.rows, self.table[known[new]]])[order]
+        return self.rows[np.searchsorted(self.codes, known)]
+
+
 def code_lengths(counts: np.ndarray, order: int) -> np.ndarray:
     """``counts`` of all (order + 1)-grams of one language -> nats for each of them under the frozen tree."""
     codes = np.flatnonzero(counts)
@@ -153,10 +180,11 @@ def predict(docs: DataFrame, langs: list[str], symbols: np.ndarray, table: CodeL
 
     docs = docs.drop("lang_pred", "score", "__letter")
     model = docs.sparkSession.sparkContext.broadcast((symbols, table))  # 16 bytes for each language and gram, at all lengths, that occurs in the sample
-    stretch = max(1 << 12, (1 << 22) // max(len(langs), 1))
+    stretch = max(1 << 12, (1 << 20) // max(len(langs), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, table = model.value
+        table = Remembered(table)
 
         def nats(texts: list[np.ndarray]) -> np.ndarray:
             """(texts, languages): code lengths. Grams of all texts are looked up once for each stretch of bytes; a text may go over several."""
@@ -169,7 +197,7 @@ def predict(docs: DataFrame, langs: list[str], symbols: np.ndarray, table: CodeL
                 out[whose[first]] += np.add.reduceat(table[known][at], first, axis=0, dtype=np.float64)
             return out
 
-        for batch in in_slices(batches, most_bytes=2_000_000):
+        for batch in in_slices(batches, most_bytes=500_000):
             letters = batch.column("__letter").to_numpy(zero_copy_only=False)
             preds, scores, at = ["und"] * batch.num_rows, np.zeros(batch.num_rows), np.flatnonzero(letters) if langs else []
             if len(at):

@@ -66,6 +66,17 @@ def test_probabilities_of_a_context_add_up_to_one():
     assert np.allclose(p.sum(1), 1, atol=1e-6)
 
 
+@pytest.mark.parametrize("most", [1, 40, 1 << 21])
+def test_remembered_rows_are_those_of_the_table(most):
+    rng = np.random.default_rng(most)
+    codes = np.unique(rng.integers(0, 256**2, 300))
+    table = language_id.CodeLengths(np.repeat(codes, 2), np.tile([0, 1], len(codes)), rng.integers(1, 9, 2 * len(codes)), 2, 1)
+    remembered = language_id.Remembered(table, most)
+    for n in (0, 5, 60, 7, 200, 60):
+        asked = np.unique(np.concatenate([rng.choice(codes, min(n, len(codes))), rng.integers(0, 256**2, n)]))
+        np.testing.assert_array_equal(remembered[asked], table[asked])
+
+
 def test_predictions_against_the_definition(spark):
     """Every document's language and score, by code lengths computed one byte at a time."""
     rows = documents(random.Random(8), 40) + [(500, "le und the", None, "s"), (501, "Zürich état", None, "s")]
