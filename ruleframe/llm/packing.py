@@ -75,12 +75,13 @@ class Encoder:
             self.forget()
         new = [w for w in names if w not in self.known]
         self.known.update(zip(new, self.encode_words(new), strict=True))
-        self.held += 150 * len(new) + sum(map(len, new)) + sum(len(self.known[w]) for w in new)
-        ids = [self.known[w] for w in names]
+        self.held += 150 * len(new) + sum(map(len, new)) + sum(map(len, map(self.known.__getitem__, new)))
+        ids = list(map(self.known.__getitem__, names))
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         data, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), lengths[codes]
         ends = np.cumsum(sizes)
-        at = np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - sizes), sizes) + np.arange(ends[-1])
+        at = np.repeat(((np.cumsum(lengths) - lengths)[codes] - (ends - sizes)).astype(np.int32), sizes)  # ids of a slice are fewer than its bytes, and those fewer than 2^31
+        at += np.arange(ends[-1], dtype=np.int32)
         out, cuts = data[at], [0, *ends[starts[1:] - 1].tolist(), int(ends[-1])]
         return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -102,7 +103,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = worker_cache(f"encoder {vocabulary}", lambda: Encoder(vocabulary)), np.uint32(end_id).astype("<u4").tobytes()
-        for batch in in_slices(batches, most_bytes=2_000_000):
+        for batch in in_slices(batches, most_bytes=1_000_000):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in enumerate(encoder.ids(batch.column(1))):
                 ids += end
