@@ -76,11 +76,15 @@ def give_back() -> None:
         pass
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run`` for ``mapInArrow`` whose memory goes back to the system when the task ends."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable:
+    """``run`` for ``mapInArrow`` whose memory goes back to the system when the task ends. Before it starts, what the worker holds by
+    ``worker_cache`` for tasks of other kinds goes, all but ``keeps``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
+            held = worker_held()
+            for name in held.keys() - {keeps}:
+                del held[name]
             yield from run(batches)
         finally:
             give_back()
@@ -88,9 +92,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return task
 
 
+def worker_held() -> dict[str, object]:
+    """What this Python worker keeps between tasks, by name."""
+    module = sys.modules.setdefault("ruleframe_worker_cache", types.ModuleType("ruleframe_worker_cache"))
+    return module.__dict__.setdefault("held", {})
+
+
 def worker_cache(name: str, make: Callable[[], object]) -> object:
-    """An object that a Python worker makes once and keeps for all its tasks."""
-    held = sys.modules.setdefault("ruleframe_worker_cache", types.ModuleType("ruleframe_worker_cache")).__dict__
+    """An object that a Python worker makes once and keeps for its tasks, till ``tidy`` starts one of another kind."""
+    held = worker_held()
     if name not in held:
         held[name] = make()
     return held[name]

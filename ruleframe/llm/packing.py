@@ -29,23 +29,19 @@ ODD_SPACE = rf"[{SPACE}][{SPACE}]|[{SPACE.replace('\\n', '').replace(' ', '')}]|
 
 
 class Encoder:
-    """Token ids of many texts; each distinct word of a slice is encoded once, and remembered for the task while all words with their
-    ids have up to ``most`` bytes."""
+    """Token ids of many texts; each distinct word of a slice is encoded once, and remembered, in later tasks as well. When the words
+    met since the last change have ``most`` bytes with their ids, they become the older ones, and those older before and not met since go."""
 
-    def __init__(self, vocabulary: str, most: int = 48_000_000):
+    def __init__(self, vocabulary: str, most: int = 32_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.held, self.most = Tokenizer.from_file(vocabulary), {}, 0, most
+        self.tokenizer, self.known, self.older, self.held, self.most = Tokenizer.from_file(vocabulary), {}, {}, 0, most
         added = self.tokenizer.get_added_tokens_decoder()
         plain = [(x.content, k) for k, x in added.items() if not (x.lstrip or x.rstrip or x.single_word or x.normalized)]
         self.mark = min(plain, default=None)
         self.odd = "(?s)" + "|".join([ODD_SPACE, r"\x00", *(re.escape(x.content) for x in added.values())])  # a text that spells an added token goes whole
 
-    def forget(self) -> None:
-        self.known.clear()
-        self.held = 0
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(x.ids, dtype="<u4").tobytes()
@@ -72,9 +68,11 @@ class Encoder:
         coded, starts = split.flatten().dictionary_encode(), np.cumsum(counts) - counts
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if self.held > self.most:
-            self.forget()
+            self.known, self.older, self.held = {}, self.known, 0
         new = [w for w in names if w not in self.known]
-        self.known.update(zip(new, self.encode_words(new), strict=True))
+        first = [w for w in new if w not in self.older]
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        self.known.update(zip(first, self.encode_words(first), strict=True))
         self.held += 150 * len(new) + sum(map(len, new)) + sum(map(len, map(self.known.__getitem__, new)))
         ids = list(map(self.known.__getitem__, names))
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
@@ -102,7 +100,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int) ->
     """``(doc_id, start, length, ids_crc32, doc_tokens)``: whole windows from each document's front, then its tail."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_cache(f"encoder {vocabulary}", lambda: Encoder(vocabulary)), np.uint32(end_id).astype("<u4").tobytes()
+        encoder, end = worker_cache(name, lambda: Encoder(vocabulary)), np.uint32(end_id).astype("<u4").tobytes()
         for batch in in_slices(batches, most_bytes=1_000_000):
             out: list[list] = [[], [], [], [], []]
             for doc, ids in enumerate(encoder.ids(batch.column(1))):
@@ -113,10 +111,9 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int) ->
                     for column, x in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        encoder.forget()  # the worker lives on, and with it the tokenizer alone
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    kind, name = dict(docs.dtypes)["doc_id"], f"encoder {vocabulary}"
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run, keeps=name), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def fillings(bins: int) -> np.ndarray:

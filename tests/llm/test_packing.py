@@ -79,3 +79,26 @@ def test_recipes_use_every_tail_once():
 def test_query_over_the_table(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert check(rows, queries.QUERIES["op6_packing"](spark, small).collect(), 2048) > 0.9
+
+
+def test_words_forgotten_and_kept_give_the_same_ids():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeé\U0001f600") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    small, plain = packing.Encoder(VOCABULARY, most=5_000), packing.Encoder(VOCABULARY)
+    for _ in range(12):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(1, 60))) for _ in range(8)]
+        expected = [np.array(plain.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert small.ids(pa.array(texts)) == plain.ids(pa.array(texts)) == expected
+    assert len(small.known) + len(small.older) < len(plain.known)
+
+
+def test_another_operator_frees_what_a_worker_held():
+    from ruleframe.llm import common
+
+    common.worker_cache("encoder of a test", lambda: [1])
+    list(common.tidy(lambda batches: batches, keeps="encoder of a test")(iter([])))
+    assert "encoder of a test" in common.worker_held()
+    list(common.tidy(lambda batches: batches)(iter([])))
+    assert not common.worker_held()
