@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleframe.functions.text import java
+from ruleframe.operators.stored import stored
 
 
 def distinct_dependencies(deps: DataFrame) -> DataFrame:
@@ -16,17 +17,21 @@ def distinct_dependencies(deps: DataFrame) -> DataFrame:
 
 
 def flatten(spark, edges: DataFrame, roots: DataFrame, most_depth: int = 100) -> DataFrame:
-    """``(root, node, depth)`` of all paths down a dependency graph; a node is listed once for each path. A path of more than
-    ``most_depth`` steps, as in a graph with a cycle, is an error."""
-    name = uuid.uuid4().hex  # two results do not see each other's views
-    edges.createOrReplaceTempView(f"edges_{name}")
-    roots.createOrReplaceTempView(f"roots_{name}")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(root, node, depth) MAX RECURSION LEVEL {most_depth + 3} AS (
-          SELECT node, node, 0 FROM roots_{name}
-          UNION ALL
-          SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN edges_{name} e ON e.parent = w.node WHERE w.depth <= {most_depth}
-        ) SELECT root, node, depth FROM walk WHERE IF(depth > {most_depth}, raise_error('a path is longer than {most_depth} steps'), true)""")
+    """``(root, node, depth, paths)``: every node down a dependency graph, with the number of paths of that many steps to it. A path
+    of more than ``most_depth`` steps, as in a graph with a cycle, is an error.
+
+    Paths are counted step by step and never listed, so a step has a row for each root and node at most, however many paths there are."""
+    edges = stored(edges.select("parent", "child"), "edges")
+    level = stored(roots.groupBy(F.col("node").alias("root"), "node").agg(F.count(F.lit(1)).alias("paths")), "paths")
+    levels, depth = [level], 0
+    while not level.isEmpty():
+        if depth > most_depth:
+            raise ValueError(f"a path is longer than {most_depth} steps")
+        depth += 1
+        below = level.join(edges, F.col("node") == F.col("parent")).groupBy("root", F.col("child").alias("node"))
+        level = stored(below.agg(F.sum("paths").alias("paths")), "paths")
+        levels.append(level)
+    return reduce(DataFrame.unionAll, [x.select("root", "node", F.lit(d).alias("depth"), "paths") for d, x in enumerate(levels)])
 
 
 def two_levels(edges: DataFrame, root: str) -> DataFrame:

@@ -104,6 +104,15 @@ def test_flatten_lists_the_whole_graph_or_fails(spark):
         D.flatten(spark, chain, root, 5).count()
 
 
+def test_flatten_counts_paths_that_nobody_could_list(spark):
+    # 21 layers of two nodes, each of which leads to both of the next: 2^21 paths, more than Spark's own recursion lists
+    layers = spark.createDataFrame([(f"{k}{a}", f"{k + 1}{b}") for k in range(21) for a in "xy" for b in "xy"], "parent string, child string")
+    out = D.flatten(spark, layers, spark.createDataFrame([("0x",)], "node string"))
+    assert {tuple(r) for r in out.collect()} == {("0x", "0x", 0, 1)} | {("0x", f"{k}{a}", k, 2 ** (k - 1)) for k in range(1, 22) for a in "xy"}
+    with pytest.raises(Exception, match="longer than 9 steps"):  # a cycle
+        D.flatten(spark, spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string"), spark.createDataFrame([("a",)], "node string"), 9).count()
+
+
 def test_throttling_holds_no_group_in_memory(spark):
     # the plan has no list of a key's events; the rows are those of a loop over each key's events in time order
     rng = random.Random(3)
