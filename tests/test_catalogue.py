@@ -22,3 +22,14 @@ def test_entry_points(spark):
 
     assert e.entry(spark).columns == ["ruleset", "rule_id", "category", "kind", "n_incidents", "first_incident"]
     assert {*e.oracle_sql()} <= {*e.queries()}
+
+
+def test_places_in_neighbouring_lines(spark, tmp_path):
+    """A line that ends one place and begins the next counts in both, as in the SQL."""
+    rows = [(1, "One day.\nAn.\nAn.\nAn end.\nAnd", "en", "s", 30), (2, "No.\n An.\nan", "en", "s", 11), (3, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    (part,) = (tmp_path / "documents.parquet").glob("part-*.parquet")
+    (tmp_path / "duck").mkdir()
+    (tmp_path / "duck" / "documents.parquet").write_bytes(part.read_bytes())
+    name = "filecontent_multiline_lines"
+    assert assert_same(catalogue.QUERIES[name](spark, str(tmp_path / "duck")), catalogue.SQL[name], str(tmp_path / "duck")) == 4
