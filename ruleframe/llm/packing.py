@@ -128,18 +128,19 @@ def fillings(bins: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarray:
-    """Lawson-Hanson non-negative least squares on the normal equations."""
-    gram, right = a.T @ a, a.T @ b
+    """Lawson-Hanson non-negative least squares on the normal equations, of which only those of active columns are formed: with
+    thousands of columns, all of them would take hundreds of megabytes of the driver."""
     x, active = np.zeros(a.shape[1]), []
     for _ in range(steps):
-        slope = right - gram[:, active] @ x[active] if active else right.copy()
+        slope = a.T @ (b - a[:, active] @ x[active])
         slope[active] = -np.inf
         j = int(np.argmax(slope))
         if slope[j] <= 1e-9 * max(1.0, float(np.abs(b).max())):
             break
         active.append(j)
         while active:
-            s = np.linalg.lstsq(gram[np.ix_(active, active)], right[active], rcond=None)[0]
+            used = a[:, active]
+            s = np.linalg.lstsq(used.T @ used, used.T @ b, rcond=None)[0]
             if s.min() > 0:
                 x[active] = s
                 break

@@ -76,6 +76,17 @@ def test_recipes_use_every_tail_once():
     assert not left.any()
 
 
+def test_recipes_of_a_real_window_take_little_of_the_driver():
+    import tracemalloc
+
+    histogram = np.concatenate([[0], np.random.default_rng(6).integers(0, 3, 256)])
+    tracemalloc.start()
+    packing.recipes(histogram, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
 def test_query_over_the_table(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert check(rows, queries.QUERIES["op6_packing"](spark, small).collect(), 2048) > 0.9
