@@ -32,7 +32,7 @@ class Encoder:
     """Token ids of many texts; each distinct word of a slice is encoded once, and remembered, in later tasks as well. When the words
     met since the last change have ``most`` bytes with their ids, they become the older ones, and those older before and not met since go."""
 
-    def __init__(self, vocabulary: str, most: int = 32_000_000):
+    def __init__(self, vocabulary: str, most: int = 24_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -58,6 +58,23 @@ class Encoder:
             data = ids.tobytes()
             yield from (data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False))
 
+    def of_words(self, names: list[str]) -> list[bytes]:
+        """Ids of distinct words, most of which are known."""
+        if self.held > self.most:
+            self.known, self.older, self.held = {}, self.known, 0
+        ids = list(map(self.known.get, names))
+        at = [k for k, x in enumerate(ids) if x is None]
+        new = [names[k] for k in at]
+        found = list(map(self.older.get, new))
+        first = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(first, self.encode_words([new[k] for k in first]), strict=True):
+            found[k] = x
+        self.known.update(zip(new, found, strict=True))
+        self.held += 150 * len(new) + sum(map(len, new)) + sum(map(len, found))
+        for k, x in zip(at, found, strict=True):
+            ids[k] = x
+        return ids
+
     def by_words(self, texts: pa.Array) -> list[bytes]:
         """Ids of texts whose only white space is single characters between words. Cut is before a space, around a line feed, and
         between a letter and a mark: there a token ends in any case."""
@@ -66,15 +83,7 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(parted, "\n", "\n\0"), "\0")
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded, starts = split.flatten().dictionary_encode(), np.cumsum(counts) - counts
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if self.held > self.most:
-            self.known, self.older, self.held = {}, self.known, 0
-        new = [w for w in names if w not in self.known]
-        first = [w for w in new if w not in self.older]
-        self.known.update((w, self.older[w]) for w in new if w in self.older)
-        self.known.update(zip(first, self.encode_words(first), strict=True))
-        self.held += 150 * len(new) + sum(map(len, new)) + sum(map(len, map(self.known.__getitem__, new)))
-        ids = list(map(self.known.__getitem__, names))
+        ids, codes = self.of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         data, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), lengths[codes]
         ends = np.cumsum(sizes)
