@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ruleframe.llm.common import Scratch, checked_broadcast, components, in_slices, text_slices, tidy
 
@@ -382,8 +383,8 @@ def near_documents(docs: DataFrame, scratch: Scratch, n: int = 5, share: tuple[i
     ids = scratch.keep(named.groupBy("a", "b").agg(F.min("doc_id").alias("id")), "classes")
     frequent = spark.sparkContext.broadcast(frequent_numbers(docs, scratch, n, share))
     lists = prefixes(docs.filter("doc_id is not null"), n, share, frequent).repartition("gram").dropDuplicates(["gram", "a"])
-    first = lists.groupBy("gram").agg(F.min("a").alias("bucket"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = lists.join(first, "gram").select("bucket", "a").distinct()
+    same = W.partitionBy("gram")  # no join of the lists with their own groups, as both sides would cut every text
+    members = lists.select("a", F.min("a").over(same).alias("bucket"), F.count(F.lit(1)).over(same).alias("n")).filter("n > 1").select("bucket", "a").distinct()
     reps = named.select("doc_id", "a", "b", "size", "sketch").join(ids.select("a", "b", F.col("id").alias("doc_id")), ["a", "b", "doc_id"]).dropDuplicates(["a", "b"])
     members = scratch.keep(members.join(reps.select("a", F.col("doc_id").alias("id"), "size", "sketch"), "a").drop("a"), "members")
     chosen = scratch.keep(may_be_similar(members, scratch, share, block_rows), "chosen")

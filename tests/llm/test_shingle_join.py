@@ -100,3 +100,13 @@ def test_few_rows(spark, rows):
 def test_query_over_the_table(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in queries.QUERIES["op9_shingle_join"](spark, small).collect()), key=repr) == brute(rows, 4, (85, 100))
+
+
+def test_lists_meet_their_groups_without_a_second_pass_over_the_texts(spark, monkeypatch):
+    plans, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(self, df, name))
+    rng = random.Random(7)
+    rows = [(k, sentence(rng, 30)) for k in range(20)]
+    rows += [(20 + k, rows[k][1] + " more") for k in range(10)]
+    assert found(spark, rows, 4, (85, 100)) == brute(rows, 4, (85, 100))
+    assert plans["members"].count("MapInArrow") == 1
