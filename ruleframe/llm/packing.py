@@ -27,6 +27,11 @@ from ruleframe.llm.common import BROADCAST_ROWS, Scratch, in_slices, pieces, sum
 SPACE = r"\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ODD_SPACE = rf"[{SPACE}][{SPACE}]|[{SPACE.replace('\\n', '').replace(' ', '')}]|^[{SPACE}]|[{SPACE}]$"
 
+#: What a byte is where words are cut, as flags: 1 a space, 2 a line feed, 4 an ASCII letter, 8 a mark or line feed, 16 not ASCII.
+KINDS = np.zeros(256, dtype=np.uint8)
+for flag, those in ((1, b" "), (2, b"\n"), (4, bytes(range(65, 91)) + bytes(range(97, 123))), (8, b".,;:!?\n"), (16, bytes(range(128, 256)))):
+    KINDS[list(those)] |= flag
+
 
 class Encoder:
     """Token ids of many texts; each distinct word of a slice is encoded once, and remembered, in later tasks as well. When the words
@@ -40,23 +45,30 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder()
         plain = [(x.content, k) for k, x in added.items() if not (x.lstrip or x.rstrip or x.single_word or x.normalized)]
         self.mark = min(plain, default=None)
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids before which a joined word ends: a space (written so by byte-level models), or the mark
+        self.begins[[k for x, k in vocab.items() if x[:1] == "\u0120"] + [self.mark[1]] * bool(self.mark)] = True
         self.odd = "(?s)" + "|".join([ODD_SPACE, r"\x00", *(re.escape(x.content) for x in added.values())])  # a text that spells an added token goes whole
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.array(x.ids, dtype="<u4").tobytes()
 
-    def encode_words(self, words: list[str], at_once: int = 2_000) -> Iterator[bytes]:
-        """Words joined by an added token, which parts them whatever they are, and cut at its id again."""
+    def encode_words(self, words: list[str], at_once: int = 200) -> Iterator[bytes]:
+        """Words without a space inside, joined and cut again where an id begins with a space; before a word that begins with none
+        stands an added token, which parts words whatever they are."""
+        for lo in range(0, len(words) if self.mark else 0, at_once):
+            some = words[lo : lo + at_once]
+            joined = "".join([x if x[:1] == " " else self.mark[0] + x for x in some])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(some):
+                data, froms = ids.tobytes(), starts + (ids[starts] == self.mark[1])
+                yield from (data[a:b] for a, b in zip((4 * froms).tolist(), (4 * np.append(starts[1:], len(ids))).tolist(), strict=True))
+            else:  # not every space begins a token
+                yield from self.encode(some)
         if not self.mark:
             yield from self.encode(words)
-            return
-        for lo in range(0, len(words), at_once):
-            some = words[lo : lo + at_once]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[0].join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = [-1, *np.flatnonzero(ids == self.mark[1]).tolist(), len(ids)]
-            data = ids.tobytes()
-            yield from (data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False))
 
     def of_words(self, names: list[str]) -> list[bytes]:
         """Ids of distinct words, most of which are known."""
@@ -76,20 +88,28 @@ class Encoder:
         return ids
 
     def by_words(self, texts: pa.Array) -> list[bytes]:
-        """Ids of texts whose only white space is single characters between words. Cut is before a space, around a line feed, and
-        between a letter and a mark: there a token ends in any case."""
-        parted = pc.replace_substring(texts, " ", "\0 ")
-        parted = pc.replace_substring_regex(parted, r"(\pL)([.,;:!?\n])", "\\1\0\\2")
-        split = pc.split_pattern(pc.replace_substring(parted, "\n", "\n\0"), "\0")
-        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded, starts = split.flatten().dictionary_encode(), np.cumsum(counts) - counts
+        """Ids of texts, none empty, whose only white space is single characters between words. Cut is before a space, around a line
+        feed, and between a letter (ASCII or Latin-1: a cut may be left out anywhere) and a mark: there a token ends in any case."""
+        texts = texts.cast(pa.string())
+        heads = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw, heads = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[heads[0] : heads[-1]], heads - heads[0]
+        kinds = KINDS[raw]
+        before, after = kinds[:-1], kinds[1:]
+        cut = np.ones(len(raw), dtype=np.uint8)
+        cut[1:] = (after & 1) | (before & 2) | (after >> 1 & before & 4)
+        accented = np.flatnonzero(after << 1 & before & 16) + 1  # marks after a byte of another character
+        cut[accented] |= (raw[accented - 2] == 0xC3) & (raw[accented - 1] != 0x97) & (raw[accented - 1] != 0xB7)
+        cut[heads[:-1]] = 1
+        places = np.flatnonzero(cut)
+        words = pa.StringArray.from_buffers(len(places), pa.py_buffer(np.append(places, len(raw)).astype(np.int32)), pa.py_buffer(raw))
+        coded, firsts = words.dictionary_encode(), np.searchsorted(places, heads[:-1])
         ids, codes = self.of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         data, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), lengths[codes]
         ends = np.cumsum(sizes)
         at = np.repeat(((np.cumsum(lengths) - lengths)[codes] - (ends - sizes)).astype(np.int32), sizes)  # ids of a slice are fewer than its bytes, and those fewer than 2^31
         at += np.arange(ends[-1], dtype=np.int32)
-        out, cuts = data[at], [0, *ends[starts[1:] - 1].tolist(), int(ends[-1])]
+        out, cuts = data[at], [*(ends - sizes)[firsts].tolist(), int(ends[-1])]
         return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def ids(self, texts: pa.Array) -> list[bytes]:

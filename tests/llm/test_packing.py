@@ -105,6 +105,39 @@ def test_words_forgotten_and_kept_give_the_same_ids():
     assert len(small.known) + len(small.older) < len(plain.known)
 
 
+def test_cuts_into_words_give_the_ids_of_whole_texts():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    parts = ["ab", "Äé", "ß", "×", "÷", "я", "жук", "漢字", "12", "3.5", "'s", "don't", ".", ",", "?!", ";", ":", "###", "Ġ", "\u0120a", "\U0001f600", "é.", "×.", "я.", "漢!", "é\na", "12\nb", "a.\nb", "×\n÷"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randrange(1, 12))) for _ in range(2_000)]
+    encoder = packing.Encoder(VOCABULARY)
+    expected = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert encoder.ids(pa.array(texts)) == expected
+    assert encoder.ids(pa.array(["left out", *texts], pa.large_string())[1:]) == expected
+    encoder.begins[:] = False  # as with a vocabulary whose spaces begin no token
+    encoder.known, encoder.older = {}, {}
+    assert encoder.ids(pa.array(texts)) == expected
+
+
+def test_words_go_to_the_tokenizer_with_little_between_them():
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.sent = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.sent += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    encoder = packing.Encoder(VOCABULARY)
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    text = " ".join(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]}" for k in range(600))
+    encoder.ids(pa.array([text]))
+    assert counted.sent <= 1.1 * len(text)
+
+
 def test_another_operator_frees_what_a_worker_held():
     from ruleframe.llm import common
 
